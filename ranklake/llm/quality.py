@@ -75,25 +75,30 @@ def ratio(a: str, b: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes: 1 good, -1 bad, 0 abstains.  Their limits are those of common web-text heuristics."""
+    """Votes: 1 good, -1 bad, 0 abstains.  Their limits are those of common web-text heuristics.
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
-    many = F.col("n_words") >= 50
+    A rule that looks for one fault abstains where it finds none: that says
+    nothing about other faults.  Good votes need several signs of plain prose.
+    """
     symbols, length, capital = ratio("n_symbols", "n_words"), ratio("word_chars", "n_words"), ratio("n_upper", "n_words")
     marks, ended = ratio("n_marks", "n_words"), ratio("n_ended", "n_lines")
     lines, again, distinct = ratio("n_dup_lines", "n_lines"), ratio("n_repeat_words", "n_words"), ratio("n_distinct", "n_words")
-    return {
-        "symbols": vote(symbols > 0.1, symbols < 0.05),
-        "word_length": vote((length < 2.5) | (length > 14), (length >= 3) & (length <= 10)),
-        "capitals": vote(capital > 0.4, capital < 0.2),
-        "marks": vote(marks > 0.3, marks < 0.1),
-        "line_ends": vote((ended < 0.1) & (F.col("n_lines") >= 3), ended > 0.5),
-        "same_lines": vote(lines > 0.3, lines < 0.1),
-        "same_words": vote(again > 0.2, again < 0.1),
-        "variety": vote(many & (distinct < 0.1), many & (distinct > 0.2)),
+    plain = (symbols < 0.05) & (capital < 0.2) & (marks < 0.1)
+    bad = {
+        "symbols": symbols > 0.1,
+        "capitals": capital > 0.4,
+        "marks": marks > 0.3,
+        "same_lines": lines > 0.5,
+        "same_words": again > 0.3,
+        "variety": (F.col("n_words") >= 50) & (distinct < 0.1),
+        "word_length": (length < 2.5) | (length > 14),
+        "line_ends": (ended < 0.1) & (F.col("n_lines") >= 3),
+    }
+    good = {
+        "prose": plain & (length >= 3) & (length <= 10),
+        "sentences": plain & (ended > 0.5),
     }
+    return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {k: F.when(v, 1).otherwise(0) for k, v in good.items()}
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
