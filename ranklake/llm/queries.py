@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, quality, simhash, toxicity
+from . import bpe, lines, lm, packing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(_read(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document."""
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the weakly supervised verdict on every document."""
     return quality.score(_read(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept", "posterior")
@@ -46,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op6_quality, op7_lines, op10_toxicity)
+    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op6_quality, op7_lines, op10_toxicity)
 }
 
 #: Keys are compared in full here; UTF-8 hex of DuckDB's sha256 is lower case.
