@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, lm, packing, quality, simhash, toxicity
+from . import ann, bpe, lines, lm, packing, quality, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,19 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(_read(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose vec_id is divisible by 20."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return ann.search(rows, F.col("vec_id") % 20 == 0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op6_quality, op7_lines, op10_toxicity)
+    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op6_quality, op7_lines, op8_ann, op10_toxicity)
 }
 
 #: Keys are compared in full here; UTF-8 hex of DuckDB's sha256 is lower case.
