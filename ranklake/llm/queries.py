@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, lm, packing, quality, simhash, toxicity
+from . import ann, bpe, lines, lm, packing, quality, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,19 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, F.col("vec_id") % 20 == 0)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record as read back from the archives."""
+    found = warc.archive(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "part", "place")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op6_quality, op7_lines, op8_ann, op10_toxicity)
+    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op6_quality, op7_lines, op8_ann, op9_warc, op10_toxicity)
 }
 
 #: Keys are compared in full here; UTF-8 hex of DuckDB's sha256 is lower case.
