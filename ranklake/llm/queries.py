@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, lm, packing, quality, simhash, toxicity, warc
+from . import ann, bpe, licenses, lines, lm, packing, quality, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice found in a document."""
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the weakly supervised verdict on every document."""
     return quality.score(_read(spark, sf_dir, "documents")).select("doc_id", *quality.FEATURES, "base_failed", "kept", "posterior")
@@ -63,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op6_quality, op7_lines, op8_ann, op9_warc, op10_toxicity)
+    f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op4_lm, op5_licenses, op6_quality, op7_lines, op8_ann, op9_warc, op10_toxicity)
 }
 
 #: Keys are compared in full here; UTF-8 hex of DuckDB's sha256 is lower case.
