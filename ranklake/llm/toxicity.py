@@ -32,7 +32,8 @@ from . import common as C
 SAMPLE, SAMPLE_BYTES, TERMS, FACTORS = 4000, 48 << 20, 8192, 8
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¿¡"
 STEMS = (4, 5, 6)
-EMPTY_HASH = np.uint64(0)
+#: Bytes of sample text that the driver takes apart at once.
+STEP = 4 << 20
 
 
 def word_terms(word: str) -> list[int]:
@@ -100,19 +101,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(len(column), row, term), -50, 50)))
 
 
-def choose(label: np.ndarray, row: np.ndarray, term: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms that the labels share most unevenly, by log-likelihood ratio; in two rows at least."""
-    names, at = np.unique(term, return_inverse=True)
-    pos = np.bincount(at, weights=label[row], minlength=len(names))
-    all_ = np.bincount(at, minlength=len(names))
-    share = label.mean()
-    expect = all_ * share
+def tallies(texts: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, in how many texts each is, and in how many texts of label 1; slice after slice."""
+    names, seen, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+    for i, j in C.slices(texts, STEP):
+        row, term = Terms().of(texts.slice(i, j - i))
+        own, back = np.unique(term, return_inverse=True)
+        both, at = np.unique(np.concatenate([names, own]), return_inverse=True)
+        seen = np.bincount(at, weights=np.concatenate([seen, np.bincount(back, minlength=len(own))]), minlength=len(both)).astype(np.int64)
+        pos = np.bincount(at, weights=np.concatenate([pos, np.bincount(back, weights=label[i:j][row], minlength=len(own))]), minlength=len(both))
+        names = both
+    return names, seen, pos
 
-    def part(seen, hoped):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(hoped, 1e-12)), 0)
 
-    gain = part(pos, expect) + part(all_ - pos, all_ - expect)
-    gain[all_ < 2] = 0
+def choose(names: np.ndarray, seen: np.ndarray, pos: np.ndarray, share: float, most: int = TERMS) -> np.ndarray:
+    """The terms that the labels share most unevenly, by log-likelihood ratio; in two texts at least."""
+    expect = seen * share
+
+    def part(had, hoped):
+        return np.where(had > 0, had * np.log(np.maximum(had, 1e-12) / np.maximum(hoped, 1e-12)), 0)
+
+    gain = part(pos, expect) + part(seen - pos, seen - expect)
+    gain[seen < 2] = 0
     best = np.argsort(-gain, kind="stable")[:most]
     return np.sort(names[best[gain[best] > 1.0]])
 
@@ -124,11 +134,13 @@ def train(texts: pa.Array, label: np.ndarray, rounds: int = 15, rate: float = 0.
     if not len(label) or label.min() == label.max():
         share = min(max(float(label.mean()), 1e-6), 1 - 1e-6) if len(label) else 0.5
         return Machine(none, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, FACTORS)))
-    row, term = Terms().of(texts)
-    vocabulary = choose(label, row, term)
-    at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
-    known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-    row, term = row[known], at[known]
+    vocabulary = choose(*tallies(texts, label), float(label.mean()))
+    known, rows, terms = Terms(vocabulary), [], []
+    for i, j in C.slices(texts, STEP):
+        r, t = known.of(texts.slice(i, j - i))
+        rows.append((r + i).astype(np.int32))
+        terms.append(t.astype(np.int32))
+    row, term = np.concatenate(rows), np.concatenate(terms)
     n, rng = len(label), np.random.default_rng(seed)
     m = Machine(vocabulary, 0.0, np.zeros(max(len(vocabulary), 1)), rng.normal(0, 0.02, (max(len(vocabulary), 1), FACTORS)))
     cost = np.where(label > 0, (n / (2 * label.sum())) ** 0.5, (n / (2 * (n - label.sum()))) ** 0.5)
