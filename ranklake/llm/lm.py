@@ -39,7 +39,7 @@ from . import common as C
 HEAD, SINGLE, REST = 131_072, 383, 128
 CLASSES = 1 + SINGLE + REST
 #: Width of the model, noise words to a batch, contexts in a batch, text at once.
-WIDTH, NOISE, BATCH, SLICE = 24, 64, 4096, 12 << 20
+WIDTH, NOISE, BATCH, SLICE = 24, 64, 4096, 5 << 20
 
 
 def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
