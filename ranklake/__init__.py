@@ -1,0 +1 @@
+"""Ranked text retrieval and retrieval analytics on Spark DataFrames."""
