@@ -8,8 +8,12 @@ is no trained model and says nothing about relevance.
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +26,18 @@ Encoder = Callable[[Column], Column]
 
 
 def hashed_encoder(atoms: int = 4096, size: int = 3) -> Encoder:
-    """Atoms are hashed character n-grams, weights log(1 + count)."""
+    """Atoms are hashed character n-grams (crc32 of their UTF-8), weights log(1 + count); null has none."""
 
-    def encode(text: Column) -> Column:
-        t = F.lower(F.coalesce(text, F.lit("")))
-        grams = F.when(F.char_length(t) >= size, F.transform(F.sequence(F.lit(1), F.char_length(t) - size + 1), lambda i: F.pmod(F.xxhash64(F.substring(t, i, F.lit(size))), F.lit(atoms)).cast("int"))).otherwise(F.array().cast("array<int>"))
-        kinds = F.array_distinct(grams)
-        return F.transform(kinds, lambda a: F.struct(a.alias("atom"), F.log1p(F.size(F.filter(grams, lambda g: g == a)).cast("double")).alias("weight")))
+    @F.pandas_udf("array<struct<atom int, weight double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            t = (text or "").lower()
+            seen = Counter(zlib.crc32(t[i : i + size].encode()) % atoms for i in range(len(t) - size + 1))
+            return [{"atom": a, "weight": math.log1p(n)} for a, n in sorted(seen.items())]
 
-    return encode
+        return texts.map(one)
+
+    return run
 
 
 def windows(tokens: Column, length: int = WINDOW_TOKENS) -> Column:
