@@ -62,6 +62,7 @@ class Index:
     options: Options
     columns: tuple[str, ...]
     source_type: str
+    stored: bool = False  # whether its parts are tables rather than plans over the source
 
     def with_options(self, **changes) -> Index:
         return replace(self, options=replace(self.options, **changes))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +19,10 @@ from ..functions.text import tokenize_local
 from ..plans import query as Q
 from .index import Index, Scoring
 
-#: Up to so many query terms are sent to all tasks; more are joined by key.
-BROADCAST_TERMS = 100_000
+#: Up to so many distinct query terms are counted while documents are scanned; more meet the postings.
+SCANNED_TERMS = 64
+#: Up to so many distinct query terms stand in a filter on the postings.
+NAMED_TERMS = 1000
 HITS = "query_id long, doc_id long, score double"
 
 
@@ -60,13 +62,17 @@ def one_row(df: DataFrame, single: DataFrame) -> DataFrame:
     return df.join(F.broadcast(single))  # one row
 
 
-def contributions(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contributions(index: Index, terms: DataFrame, named: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """terms: query_id, term, field, weight, each row as often as the term counts.
 
-    Returns query_id, doc_id, score (over what an absent term adds) and, by
-    query_id, the constant that every document gets for its terms.
+    named: the terms, where the driver knows them; the filter on them reaches
+    the scan of stored postings, which lie sorted by term.  Returns query_id,
+    doc_id, score (over what an absent term adds) and, by query_id, the constant
+    that every document gets for its terms.
     """
     s = index.options.scoring
+    if named is not None and len(named) <= NAMED_TERMS:
+        index = replace(index, postings=index.postings.where(F.col("term").isin(named)), terms=index.terms.where(F.col("term").isin(named)))
     wanted = terms.groupBy("query_id", "term", "field").agg(F.sum("weight").alias("weight"))
     corpus = index.corpus.select("n_docs", F.try_divide("total_len", "n_docs").alias("avgdl"))
     known = one_row(wanted.join(index.terms, ["term", "field"]), corpus)
@@ -87,7 +93,44 @@ def top(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rank(index: Index, terms: DataFrame, ids: list[int], k: int, pad: bool = True, among: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+def occurrences(tokens: Column, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == F.lit(term))).cast("double")
+
+
+def scan(index: Index, docs: DataFrame, rows: list[tuple[int, str, float]], conditions: dict[int, Column | None], k: int, mask: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score and rank of the k best of docs for (query_id, term, weight) rows, without postings.
+
+    One pass over all documents counts the terms' documents, another one scores
+    each document by itself; only the k best of each task are moved.  A query's
+    condition says which documents count for it (None: all).
+    """
+    s = index.options.scoring
+    names = sorted({t for _, t, _ in rows})
+    stats = index.documents.agg(F.count("*").cast("double").alias("_n"), F.try_divide(F.sum("dl"), F.count("*")).alias("_avgdl"), F.array(F.lit(0.0), *[F.count_if(F.array_contains("tokens", t)).cast("double") for t in names]).alias("_df"))
+    tf = F.array(F.lit(0.0), *[occurrences(F.col("tokens"), t) for t in names])
+    counted = one_row(docs.select(*docs.columns, tf.alias("_tf")), stats)
+    absent, dl = absent_part(s), F.col("dl").cast("double")
+    factor = F.lit(1.0)
+    if mask is not None:
+        counted = counted.join(mask.select("doc_id", F.col("weight").alias("_mask")), "doc_id")
+        factor = F.col("_mask")
+    each = []
+    for q, condition in conditions.items():
+        total = constant = F.lit(0.0)
+        for i, t in enumerate(names, 1):
+            if weight := sum(w for own, x, w in rows if own == q and x == t):
+                df, n = F.element_at("_df", F.lit(i + 1)), F.col("_n")
+                w = F.when(df > 0, weight * idf(s, df, n)).otherwise(0.0)
+                found = F.element_at("_tf", F.lit(i + 1))
+                total = total + F.when(found > 0, w * (tf_part(s, found, dl, F.col("_avgdl")) - absent)).otherwise(0.0)
+                constant = constant + w * absent
+        hit = F.struct(F.lit(q).cast("long").alias("query_id"), (total * factor + constant).alias("score"))
+        each.append(hit if condition is None else F.when(condition, hit))
+    hits = counted.select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"))
+    return top(hits.select("x.query_id", F.col("doc_id").cast("long").alias("doc_id"), "x.score"), k).select("query_id", "doc_id", "score", "rank")
+
+
+def rank(index: Index, terms: DataFrame, ids: list[int], k: int, pad: bool = True, among: DataFrame | None = None, mask: DataFrame | None = None, named: list[str] | None = None) -> DataFrame:
     """query_id, doc_id, score and rank of the k best documents of each query.
 
     pad: documents that no term is in follow with the score of absence, in order
@@ -97,7 +140,7 @@ def rank(index: Index, terms: DataFrame, ids: list[int], k: int, pad: bool = Tru
     """
     if k <= 0 or not ids:
         return index.documents.sparkSession.createDataFrame([], HITS + ", rank int")
-    scores, constant = contributions(index, terms)
+    scores, constant = contributions(index, terms, named)
     if among is not None:
         keys = [c for c in ("query_id", "doc_id") if c in among.columns]
         scores = scores.join(among.select(*keys).distinct(), keys, "left_semi")
@@ -166,8 +209,16 @@ def search_tokens(index: Index, queries: dict[int, list], k: int = 10, fields=No
     """Rank for given tokens (or ids), which are taken as they are; repeated ones count repeatedly."""
     spark = index.documents.sparkSession
     rows = [(q, str(t), 1.0) for q, ts in queries.items() for t in ts if t is not None]
+    names = sorted({t for _, t, _ in rows})
+    if scannable(index, names) and among is None and k > 0 and queries:
+        return scan(index, index.documents, rows, dict.fromkeys(queries), k, mask)
     terms = spark.createDataFrame(rows, "query_id long, term string, weight double")
-    return rank(index, with_fields(terms, field_weights(index, fields, weights)), list(queries), k, True, among, mask)
+    return rank(index, with_fields(terms, field_weights(index, fields, weights)), list(queries), k, True, among, mask, names)
+
+
+def scannable(index: Index, names: list[str]) -> bool:
+    """Whether an index that isn't stored answers faster from its documents than by making postings first."""
+    return not index.stored and not index.options.field_aware and len(names) <= SCANNED_TERMS
 
 
 def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None, weights=None, where: Column | None = None, allowed: DataFrame | None = None, mask: DataFrame | None = None, **text) -> DataFrame:
@@ -187,6 +238,12 @@ def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None
     if allowed is not None:
         docs = docs.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     limited = where is not None or allowed is not None
+    leaves = [(q, x) for q, p in parsed.items() for x in Q.scored(p)]
+    starts = any(x.kind == "prefix" for _, x in leaves)
+    words = sorted({t for _, x in leaves for t in x.tokens})
+    if scannable(index, words) and not starts and k > 0 and parsed:
+        conditions = {q: None if Q.simple(p) else Q.predicate(p, F.col("tokens")) for q, p in parsed.items()}
+        return scan(index, docs, [(q, t, 1.0) for q, x in leaves for t in x.tokens], conditions, k, mask)
     out = None
     for plain in (True, False):
         some = {q: p for q, p in parsed.items() if Q.simple(p) == plain}
@@ -200,7 +257,7 @@ def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None
             among = hits[0]
             for h in hits[1:]:
                 among = among.unionByName(h)
-        found = rank(index, terms, list(some), k, plain, among, mask)
+        found = rank(index, terms, list(some), k, plain, among, mask, None if starts else words)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rank(index, None, [], 0)
 

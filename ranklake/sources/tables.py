@@ -44,4 +44,4 @@ def load(spark: SparkSession, path: str) -> Index:
     text = TextOptions.of(**o["text"])
     options = Options(Scoring(**o["scoring"]), text, o["field_aware"], o["consistency"])
     parts = [spark.read.parquet(f"{path}/{p}") for p in PARTS]
-    return Index(*parts, options, tuple(meta["columns"]), meta["source_type"])
+    return Index(*parts, options, tuple(meta["columns"]), meta["source_type"], True)
