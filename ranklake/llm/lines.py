@@ -152,27 +152,28 @@ def kept_text(text: bytes, keep: bytes | None) -> tuple[bytes, int]:
     return b"\n".join([x for x, k in zip(lines, bits.tolist(), strict=True) if k]), len(lines)
 
 
-def with_bitmaps(docs: DataFrame, text: str, key: str, least: int) -> DataFrame:
-    """docs with ``_keep`` and ``_gone``."""
-    found = bitmaps(docs, text, key, least).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep"))
-    on = (F.coalesce(docs[f"`{key}`"].cast("long"), F.lit(LAST)) == F.col("_doc")) & (F.xxhash64(docs[f"`{text}`"].cast("string")) == F.col("_th"))
-    return docs.join(found, on, "left").drop("_doc", "_th")
-
-
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 10) -> DataFrame:
     """docs, in the same columns, with only the lines that no earlier document has.
 
     A text that loses all its lines becomes empty; a null text stays null.
     """
     C.ship(docs.sparkSession)
-    joined = with_bitmaps(docs, text, key, least)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])  # so that no name clashes with ours
+    joined = with_bitmaps(docs.select(row.alias("row"), docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text")), docs, text, key, least)
 
     @F.pandas_udf("string")
     def apply(texts, keeps):
         return texts.combine(keeps, lambda t, k: t if k is None or t is None else kept_text(t.encode(), k)[0].decode())
 
-    new = F.when(F.col("_keep").isNull(), joined[f"`{text}`"]).otherwise(apply(joined[f"`{text}`"], F.col("_keep")))
-    return joined.select(*[new.alias(c) if c == text else joined[f"`{c}`"] for c in docs.columns])
+    new = F.when(F.col("keep").isNull(), F.col("text")).otherwise(apply("text", "keep"))
+    return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def with_bitmaps(plain: DataFrame, docs: DataFrame, text: str, key: str, least: int) -> DataFrame:
+    """plain (doc_id, text and others) with ``gone`` and ``keep`` of the documents of docs."""
+    found = bitmaps(docs, text, key, least).select("doc", "th", F.col("n_dropped").alias("gone"), "keep")
+    on = (F.coalesce(plain["doc_id"], F.lit(LAST)) == found["doc"]) & (F.xxhash64(plain["text"]) == found["th"])
+    return plain.join(found, on, "left")
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 10) -> DataFrame:
@@ -181,7 +182,7 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
 
     C.ship(docs.sparkSession)
     plain = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
-    joined = with_bitmaps(plain, "text", "doc_id", least).select("doc_id", "text", "_gone", "_keep")
+    joined = with_bitmaps(plain, docs, text, key, least).select("doc_id", "text", "gone", "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

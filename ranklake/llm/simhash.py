@@ -273,6 +273,7 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
     """
     own = docs.where(docs[f"`{key}`"].isNotNull())
     prints = C.table(simhash(own, text, key, size), "fingerprints")
-    found = prints.join(named_fingerprints(prints, tau), "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = own.join(found, own[f"`{key}`"] == F.col("_keep"), "left_semi").dropDuplicates([key])
+    name = C.fresh(docs, "_keep")
+    found = prints.join(named_fingerprints(prints, tau), "fp").where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = own.join(found, own[f"`{key}`"].cast("long") == found[name], "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(docs[f"`{key}`"].isNull()))
