@@ -3,9 +3,14 @@
 Method: three rounds of random signs and a fast Hadamard transform rotate unit
 vectors; the nearest signed axis is a vector's bucket.  ``TABLES`` rotations
 give as many tables.  A query probes its ``PROBES`` nearest axes in each, and
-all that lie there are compared exactly, in double precision, in blocks.  If
-norms differ, a further coordinate makes all vectors equally long, so that the
-largest inner product is the smallest angle.
+all that lie there are compared exactly, in double precision, in blocks.
+
+Only directions are hashed, whatever the norms.  If norms differ, a long vector
+can be among the nearest at a wide angle, where tables miss it.  So vectors are
+cut into shells of about equal norm, and the worst score a query has found says
+at what cosine a shell's vectors would still count.  Shells in which that is
+past 1 are left; those in which tables find less than ``SURE`` of the vectors at
+that cosine meet the query in full.
 
 Equal vectors are searched once: of those only the smallest ids can be among
 the nearest, so each distinct vector carries a few ids, and equal queries share
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 TABLES, PROBES, BLOCK, SEED = 8, 16, 8192, 8
+#: Shells of norm to a doubling, and the share of vectors at a cosine that tables must find to be trusted.
+SHELLS, SURE = 4, 0.95
 
 
 def hadamard(a: np.ndarray) -> np.ndarray:
@@ -44,9 +51,13 @@ def hadamard(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt(d)
 
 
+def _padded(width: int) -> int:
+    return 1 << max(0, int(width - 1).bit_length())
+
+
 def rotated(a: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     """The rows under the table's pseudo-rotation, padded to a power of two."""
-    width = 1 << max(0, int(a.shape[1] - 1).bit_length())
+    width = _padded(a.shape[1])
     out = np.zeros((len(a), width))
     out[:, : a.shape[1]] = a
     rng = np.random.default_rng((seed, table, width))
@@ -55,14 +66,8 @@ def rotated(a: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def lifted(a: np.ndarray, longest: float | None, query: bool) -> np.ndarray:
-    """Unit vectors; with ``longest`` given, ones whose angles order inner products."""
-    norm = np.sqrt((a**2).sum(axis=1, keepdims=True))
-    if longest is None:
-        return a / norm
-    if query:
-        return np.hstack([a / norm, np.zeros((len(a), 1))])
-    return np.hstack([a / longest, np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))])
+def units(a: np.ndarray) -> np.ndarray:
+    return a / np.sqrt((a**2).sum(axis=1, keepdims=True))
 
 
 def buckets(a: np.ndarray, table: int, probes: int) -> np.ndarray:
@@ -76,6 +81,24 @@ def buckets(a: np.ndarray, table: int, probes: int) -> np.ndarray:
     return near
 
 
+def reach(width: int, tables: int, probes: int, pairs: int = 512) -> float:
+    """The least cosine at which tables bring ``SURE`` of the vectors to a query, estimated on random pairs."""
+    if probes >= 2 * width:
+        return -1.0  # every bucket is probed
+    rng = np.random.default_rng((SEED, width))
+    q = units(rng.normal(size=(pairs, width)))
+    r = rng.normal(size=(pairs, width))
+    r = units(r - (r * q).sum(axis=1, keepdims=True) * q)
+    near = [buckets(q, t, probes) for t in range(tables)]
+    low, high = -1.0, 1.0
+    for _ in range(7):
+        c = (low + high) / 2
+        v = c * q + np.sqrt(1 - c * c) * r
+        hit = np.any([(near[t] == buckets(v, t, 1)).any(axis=1) for t in range(tables)], axis=0)
+        low, high = (low, c) if hit.mean() >= SURE else (c, high)
+    return high
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
@@ -115,16 +138,16 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     queries = vectors.join(asks.select("gid").distinct(), "gid", "left_semi")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     total, low, high = vectors.agg(F.count("*"), F.min(norm), F.max(norm)).first()
-    longest = None if not total or low > 0.999 * high else float(high)
+    even = not total or low > 0.999 * high
 
-    def hashed(query: bool, per: int):
+    def hashed(per: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 d = b.column(2).to_numpy()
                 for width in np.unique(d).tolist():
                     pick = pa.array(np.flatnonzero(d == width))
                     gid, v = b.column(0).take(pick), b.column(1).take(pick)
-                    a = lifted(matrix(v, width), longest, query)
+                    a = units(matrix(v, width))
                     for t in range(tables):
                         near = buckets(a, t, per)
                         n = near.shape[1]
@@ -134,16 +157,27 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
 
         return run
 
-    placed = C.table(vectors.mapInArrow(hashed(False, 1), "bucket long, gid long"), "index")
-    probed = C.table(queries.mapInArrow(hashed(True, probes), "bucket long, gid long"), "probes")
+    placed = C.table(vectors.mapInArrow(hashed(1), "bucket long, gid long"), "index")
+    probed = C.table(queries.mapInArrow(hashed(probes), "bucket long, gid long"), "probes")
     found = C.table(meet(placed, probed, vectors, most, block), "found")
-    # too few candidates: the exact way
+    # too few candidates, or a shell in which they may be too poor: the exact way
     tops = best_ids(found, groups, most)
-    short = queries.select("gid", "d").join(tops.select("gid", F.size("near").alias("n")), "gid", "left").where(F.coalesce("n", F.lit(0)) < min(most, total))
-    short = C.table(short.select(F.col("d").cast("long").alias("bucket"), "gid"), "short")
-    if not short.isEmpty():
-        wide = vectors.select(F.col("d").cast("long").alias("bucket"), "gid").join(short.select("bucket").distinct(), "bucket", "left_semi")
-        found = found.unionByName(meet(wide, short, vectors, most, block))
+    bounded = F.greatest(F.lit(1e-300), F.least(F.lit(1e300), norm))
+    shell = F.lit(0) if even else F.floor(F.log2(bounded) * SHELLS).cast("int")
+    bucket = (F.shiftleft(F.col("d").cast("long"), 32) + F.col("shell") + (1 << 16)).alias("bucket")
+    shelled = vectors.select("gid", "d", shell.alias("shell"), norm.alias("norm"))
+    limits = shelled.groupBy("d", "shell").agg(F.max("norm").alias("high")).collect()
+    angle = {w: -1.0 if even else reach(w, tables, probes) for w in {_padded(r.d) for r in limits}}
+    shells = spark.createDataFrame([(r.d, r.shell, r.high, angle[_padded(r.d)]) for r in limits], "d int, shell int, high double, least double")
+    wanted = F.size(F.coalesce("near", F.array())) < min(most, total)
+    if not even:
+        worst, longest = F.get("near", F.lit(most - 1))["score"], F.col("norm") * F.col("high")
+        wanted |= F.coalesce((worst <= longest * (1 + 1e-9)) & (worst < F.col("least") * longest), F.lit(False))
+    poor = queries.select("gid", "d", norm.alias("norm")).join(tops, "gid", "left").join(F.broadcast(shells), "d").where(wanted)
+    again = C.table(poor.select(bucket, "gid"), "again")
+    if not again.isEmpty():
+        whole = shelled.select(bucket, "gid").join(again.select("bucket").distinct(), "bucket", "left_semi")
+        found = found.unionByName(meet(whole, again, vectors, most, block))
         tops = best_ids(found, groups, most)
     told = asks.join(tops, "gid")
     near = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)

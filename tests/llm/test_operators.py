@@ -338,6 +338,21 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["outlier", "uneven", "heavy"])
+def test_ann_recall_with_uneven_norms(spark, sf, kind):
+    t = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
+    rng = np.random.default_rng(6)
+    n = len(t["vec_id"])
+    scale = {"outlier": np.where(np.arange(n) == 7, 3.0, 1.0), "uneven": rng.uniform(0.5, 2, n), "heavy": np.exp(1.5 * rng.normal(size=n))}[kind]
+    rows = [(i, (np.array(v, float) * s).tolist()) for i, v, s in zip(t["vec_id"], t["embedding"], scale.tolist(), strict=True)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).collect()
+    truth = nearest(rows, {i for i, _ in rows if i % 5 == 0})
+    own = defaultdict(set)
+    for r in found:
+        own[r.query_id].add(r.vec_id)
+    assert sum(len({i for _, i in best} & own[q]) for q, best in truth.items()) >= 0.9 * sum(map(len, truth.values()))
+
+
 def pages_plain(rows):
     digest = [hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows]
     size = [len((h or "").encode()) for _, _, h in rows]
