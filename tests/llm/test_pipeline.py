@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from ranklake.llm import quality, toxicity
+from ranklake.llm import copies, quality, toxicity
 
 from . import plain
 
@@ -41,3 +44,35 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, sf):
         if name != "packing":
             assert out.columns == docs.columns
         assert out.count() == 0
+
+
+def shingled(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("block", [copies.BLOCK, 2])
+def test_near_dedup_finds_all_similar_texts(spark, block):
+    """Texts of 100 words with some changed, on both sides of a similarity of 0.8; only 3 bits are too few for most."""
+    rng = random.Random(3)
+    rows = [(1000, None), (1001, ""), (1002, " \n"), (1003, "three words only"), (1004, "Three WORDS only")]
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for _ in range(4):
+            words = list(base)
+            for at in rng.sample(range(100), rng.choice([0, 1, 2, 2, 3])):
+                words[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {d: shingled(t) for d, t in rows}
+    group = {d: c for d, _, c in plain.simhash(rows)}
+    by_bits = len(set(group.values()))
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if c == high else c for d, c in group.items()}
+    docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").repartition(3)
+    found = [r.doc_id for r in (pipeline.near_dedup_stage(spark, docs, "") if block == copies.BLOCK else copies.representatives(docs, block=block)).collect()]
+    assert len(set(group.values())) < by_bits
+    assert sorted(d for d in found if d is not None) == sorted({min(d for d in group if group[d] == c) for c in set(group.values())})
+    assert found.count(None) == 1
