@@ -21,6 +21,7 @@ often in a text is one match.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 SIZE, BLOCK, BANDS, SHORT, LEAST, MOST_SHINGLES = 5, 16, 10, 16, 0.8, 200_000
 BREAKS = r"[^\p{L}\p{N}]+"
 
-#: Notices by which works state their terms, and two short permission texts.
+#: Whole texts, a file for each license.
+TEXTS = Path(__file__).parent / "license_texts"
+
+#: Notices by which works state their terms, and two short permission texts; the texts in TEXTS are added to them.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0"],
     "MIT": [
@@ -46,8 +50,19 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "MPL-2.0": ["subject to the terms of the Mozilla Public License, v. 2.0"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "EPL-1.0": ["made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0 which is available at", "made available under the terms of the Eclipse Public License v. 2.0 which is available at"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
 }
 
+# notices of the GNU licenses: so short that another name or version leaves less than LEAST of the shingles
+for _license, _name, _version in (
+    ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("AGPL-3.0", "Affero ", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"),
+):
+    TEMPLATES.setdefault(_license, []).append(f"terms of the GNU {_name}General Public License as published by the Free Software Foundation, either version {_version} of the License")
+for _file in sorted(TEXTS.glob("*.txt")):
+    TEMPLATES.setdefault(_file.stem, []).append(_file.read_text(encoding="utf-8"))
+
 
 def words_of(text: Column) -> Column:
     """The words of a text without its breaks; an empty array if there are none."""

@@ -246,6 +246,24 @@ def test_licenses(spark, docs):
         licenses.scan(frame(spark, []), templates={"x": ["too short"]})
 
 
+def test_license_texts_are_found_whole(spark):
+    """Every text is found in a longer one, also with a word changed; notices of other versions aren't."""
+    names = sorted(f.stem for f in licenses.TEXTS.glob("*.txt"))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"} <= set(names)
+    texts = [(licenses.TEXTS / f"{n}.txt").read_text() for n in names]
+    rows = [(i, "before it " * 21 + t + " and after" * 9) for i, t in enumerate(texts)]
+    rows += [(i + 100, re.sub(r"\bthe\b", "that", t, count=2)) for i, t in enumerate(texts)]
+    notice = "under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License"
+    notices = {200: ("GPL-2.0", "", "2"), 201: ("GPL-3.0", "", "3"), 202: ("AGPL-3.0", "Affero ", "3"), 203: ("LGPL-2.1", "Lesser ", "2.1"), 204: ("LGPL-3.0", "Lesser ", "3")}
+    rows += [(i, notice.format(a, v)) for i, (_, a, v) in notices.items()]
+    found = defaultdict(set)
+    for r in licenses.scan(frame(spark, rows)).collect():
+        found[r.doc_id].add((r.license, r.n_shingles > 50))
+    for i, n in enumerate(names):
+        assert (n, True) in found[i] and (n, True) in found[i + 100]
+    assert {i: found[i] for i in notices} == {i: {(n, False)} for i, (n, _, _) in notices.items()}
+
+
 def test_quality(spark, rows):
     found = quality.score(frame(spark, rows)).collect()
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found], plain.quality(rows))
