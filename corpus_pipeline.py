@@ -61,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = common.mark()
         docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.remove_since(before, docs)
     return docs
