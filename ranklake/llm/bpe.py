@@ -3,14 +3,18 @@
 Method: the corpus' frequent words are compiled, with their ids, into a minimal
 acyclic transducer (``lexicon``) that each Python worker maps into memory; words
 it lacks are merged exactly, many at a time.  The lexicon only saves time: the
-ids do not depend on it.
+ids do not depend on it.  It is compiled in a task; the driver only passes the
+buffer on.
 
 A text is cut at ASCII white space, which the tokenizer drops and across which
 nothing is merged, so that each word has its ids wherever it stands.
 
 Defined results: null texts count as empty and have no ids; the strings of
 special tokens in a text become their ids, as in the tokenizers library; rows
-are kept one for one, repeated or not; an empty table gives an empty table.
+are kept one for one, repeated or not; an empty table gives an empty table; a
+text longer than ``SLICE`` is a slice by itself; columns besides key and text
+are never read, whatever their names.  A file whose normalizer or pre-tokenizer
+is not the one these cuts are made for is refused.
 """
 
 from __future__ import annotations
@@ -33,13 +37,16 @@ from . import lexicon as L
 #: Words in the lexicon and bytes in one: with these its size is under 40 MB.
 LEXICON_WORDS, LEXICON_BYTES = 131_072, 48
 #: Text handled at once.
-SLICE = 16 << 20
-#: The longest piece that is merged side by side with others.
-SIDE_BY_SIDE = 48
+SLICE = 4 << 20
+#: The longest piece that is merged side by side with others, and how many are.
+SIDE_BY_SIDE, AT_ONCE = 48, 16_384
 NONE = np.int32(1 << 30)
 #: Words of these letters need no normalizer but lower case: ASCII, and U+00C0 to U+017F without signs and dotted I.
 LETTERS = "À-ÖØ-öø-įı-ſ"
 SIMPLE = re.compile(f"[\x00-\x08\x0e-\x1f\x21-\x7f{LETTERS}]+")
+#: What a tokenizer file must say for words to be cut this way.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIMPLE_PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\t-\r a-z0-9{LETTERS}]+")
 
 
@@ -62,17 +69,19 @@ class Merger:
     """Exact merges by rank, with word ends, of the pieces of a word."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if model.get("type", "BPE") != "BPE" or spec.get("normalizer") != NORMALIZER or [c.get("type") for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["pattern"] != {"Regex": SPLIT} or cuts[1].get("use_regex", True) or cuts[1].get("add_prefix_space", True):
+            raise ValueError(f"{path} cuts words in another way")
         end, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.vocabulary = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+        self.tokens = [b""] * self.vocabulary
+        for t, i in [*vocab.items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
+            self.tokens[i] = t.encode()
         letters = byte_letters()
         self.byte_of = {c: b for b, c in letters.items()}
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
@@ -90,6 +99,16 @@ class Merger:
         self.start = np.concatenate([self.inner, self.final])
         self.first_ranks = self.ranks(np.repeat(self.inner, 512), np.tile(self.start, 256)).reshape(256, 512)
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own, for odd words only."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -197,8 +216,8 @@ class Merger:
         count, begin, pool, total = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), [], 0
         for low, width in ((0, 4), (4, 8), (8, 12), (12, 20), (20, SIDE_BY_SIDE)):
             group = np.flatnonzero((size > low) & (size <= width))
-            for i in range(0, len(group), 50_000):
-                some = group[i : i + 50_000]
+            for i in range(0, len(group), AT_ONCE):
+                some = group[i : i + AT_ONCE]
                 rows, n = self.side_by_side([distinct[k] for k in some], width)
                 begin[some] = total + np.arange(len(some)) * width
                 count[some] = n
@@ -220,7 +239,9 @@ class Merger:
 
 @functools.lru_cache(maxsize=2)
 def merger(path: str) -> Merger:
-    return Merger(path)
+    out = Merger(path)
+    C.give_back()  # what the file took while it was read
+    return out
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -232,7 +253,6 @@ class Codec:
     def __init__(self, path: str, words: bytes) -> None:
         self.merger = merger(path)
         self.lexicon = L.Lexicon(L.mapped(words))
-        self.tokens: list[bytes] | None = None
 
     @staticmethod
     def of(path: str, words: bytes) -> Codec:
@@ -279,21 +299,21 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids, special tokens included, in UTF-8: tokens joined by a space."""
-        if self.tokens is None:
-            name = self.merger.library.id_to_token
-            self.tokens = [(name(i) or "").encode() for i in range(self.merger.vocabulary)]
-        return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b" ".join(map(self.merger.tokens.__getitem__, ids.tolist()))
 
 
 def build_lexicon(docs: DataFrame, text: str = "text", path: str | None = None, words: int = LEXICON_WORDS) -> bytes:
-    """Count the words of all texts and compile the most frequent ones.
+    """Count the words of all texts and compile the most frequent ones, in one task.
 
-    Each task adds its counts up first; words of one occurrence in a slice are
-    left to the merger.  What comes to the driver is bounded by ``words``.
+    Each task adds its counts up first; words of one or two occurrences in a
+    slice aren't counted there.  What comes to the driver is the buffer, bounded
+    by ``words``.
     """
     C.ship(docs.sparkSession)
+    file = tokenizer_path(path)
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
+    @C.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in C.slices(b.column(0), 2 * SLICE):
@@ -304,12 +324,18 @@ def build_lexicon(docs: DataFrame, text: str = "text", path: str | None = None,
                 keep = pc.and_(pc.greater(n, 2), pc.and_(pc.greater(size, 0), pc.less_equal(size, LEXICON_BYTES)))
                 yield pa.RecordBatch.from_arrays([w.filter(keep).cast(pa.binary()), n.filter(keep)], schema=schema)
 
+    @C.lean
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [w for b in batches for w in b.column(0).to_pylist()]  # at most ``words``
+        ids, n = merger(file).words(own)
+        ends = np.cumsum(n)
+        entries = {w: ids[e - k : e].tolist() for w, e, k in zip(own, ends.tolist(), n.tolist(), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array([L.compile_words(entries)], pa.binary())], names=["lexicon"])
+
     counts = C.only(docs, text=text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()["word"].combine_chunks()
-    own = [bytes(w) for w in top.to_pylist()]
-    ids, count = merger(tokenizer_path(path)).words(own)
-    ends = np.cumsum(count)
-    return L.compile_words({w: ids[e - n : e].tolist() for w, e, n in zip(own, ends.tolist(), count.tolist(), strict=True)})
+    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word")
+    made = top.coalesce(1).mapInArrow(compiled, "lexicon binary").toArrow()["lexicon"]
+    return made[0].as_py() if len(made) else L.compile_words({})
 
 
 def encode(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), path: str | None = None, lexicon: bytes | None = None) -> DataFrame:
@@ -322,6 +348,7 @@ def encode(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id
     fields = [source.schema[i] for i in range(len(keys))]
     n = len(keys)
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(file, shared.value)
         for b in batches:
@@ -358,6 +385,7 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     shared = spark.sparkContext.broadcast(build_lexicon(docs, text, path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(file, shared.value)
         for b in batches:

@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     e = C.table(e, "links")
     mark = None
     while True:
-        e = C.table(_small(_large(e)), "stars")
+        before, e = e, C.table(_small(_large(e)), "stars")
+        C.drop(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break

@@ -10,7 +10,9 @@ group only reports links that connect it, and is cut into blocks if it is large.
 
 Defined results: null and empty texts have the empty set and are copies of each
 other; a text of fewer than five words is one shingle; rows with a null doc_id
-all stay, and of repeated rows of one doc_id one.
+all stay, and of repeated rows of one doc_id that of the least hash of its
+columns; an empty table gives an empty table; a very long text is a slice by
+itself; columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -106,9 +108,10 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
     own = docs.where(docs[f"`{key}`"].isNotNull())
     plain = C.only(own, doc_id=own[f"`{key}`"].cast("long"), text=own[f"`{text}`"].cast("string"))
 
+    @C.lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in C.slices(b.column(1), 8 << 20):
+            for i, j in C.slices(b.column(1), 4 << 20):
                 part = b.slice(i, j - i)
                 fp = simhash.fingerprints(part.column(1)).view(np.int64)
                 sets = [shingle_set(t) for t in C.encoded(part.column(1))]
@@ -126,9 +129,10 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
     sizes = sizes.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("k"))
     met = C.table(members.join(sizes, "key"), "met")
 
+    @C.lean
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in C.slices(b.column(0), 8 << 20):
+            for i, j in C.slices(b.column(0), 4 << 20):
                 sets = [shingle_set(t) for t in C.encoded(b.column(0).slice(i, j - i))]
                 s = np.fromiter(map(digest, sets), np.uint64, len(sets)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([x.tobytes() for x in sets], pa.large_binary()).cast(pa.binary())], names=["s", "shingles"])
@@ -151,5 +155,5 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
     grown = components(links, "a", "b")
     name = C.fresh(docs, "_keep")
     kept = known.join(grown, known["c"] == grown["node"], "left").where(F.col("doc_id") == F.coalesce("component", "c")).select(F.col("doc_id").alias(name)).distinct()
-    out = own.join(kept, own[f"`{key}`"].cast("long") == kept[name], "left_semi").dropDuplicates([key])
-    return out.unionByName(docs.where(docs[f"`{key}`"].isNull()))
+    out = own.join(kept, own[f"`{key}`"].cast("long") == kept[name], "left_semi")
+    return C.first_of_each(out, key).unionByName(docs.where(docs[f"`{key}`"].isNull()))

@@ -189,6 +189,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word and c, over all texts; the empty word stands for the end.  Tasks add up their own words first."""
     schema = pa.schema([("word", pa.string()), ("c", pa.int64())])
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in C.slices(b.column(0), 2 * SLICE):
@@ -234,6 +235,7 @@ def train(texts: DataFrame, single: list[str], share: np.ndarray) -> Model:
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((single, share))
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -292,6 +294,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     end_log = float(np.log10(ends + 0.5))
     shared = spark.sparkContext.broadcast((single, head.to_pylist(), np.log10(head_counts + 0.5), model.flat()))
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, in_memory, logs, flat = shared.value
         classes, own, lookup = Classes(names), Model.of(flat, CLASSES), pa.array(in_memory, pa.string())
