@@ -2,18 +2,55 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .stem import porter
 
-#: Runs of letters, digits and underscores, joined by inner apostrophes and full stops.
-TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# Words follow the word boundary rules of Unicode (annex 29) for letters, digits, kana and connectors; of other
+# scripts without spaces each character is a word (no dictionary of words is used).
+_MARKS = r"[\p{WB=Extend}\p{WB=Format}\p{WB=ZWJ}]*"
+_LETTER = rf"(?:[\p{{WB=ALetter}}\p{{WB=Hebrew_Letter}}]{_MARKS})"
+_DIGIT = rf"(?:\p{{WB=Numeric}}{_MARKS})"
+_IN_WORD = rf"(?:[\p{{WB=MidLetter}}\p{{WB=MidNumLet}}\p{{WB=Single_Quote}}]{_MARKS}|(?<=\p{{WB=Hebrew_Letter}}{_MARKS})\"(?=\p{{WB=Hebrew_Letter}}))"
+_IN_NUMBER = rf"(?:[\p{{WB=MidNum}}\p{{WB=MidNumLet}}\p{{WB=Single_Quote}}]{_MARKS})"
+_RUN = rf"(?:(?:{_LETTER}+(?:{_IN_WORD}{_LETTER}+)*|{_DIGIT}+(?:{_IN_NUMBER}{_DIGIT}+)*)+|(?:\p{{WB=Katakana}}{_MARKS})+)"
+_JOIN = rf"(?:\p{{WB=ExtendNumLet}}{_MARKS})"
+WORDS = regex.compile(rf"{_JOIN}*{_RUN}(?:{_JOIN}+{_RUN})*{_JOIN}*|[\p{{Ideographic}}\p{{L}}]{_MARKS}")
+
+
+def _plain(c: str) -> bool:
+    """Whether a character is Latin, Cyrillic or punctuation that needs no normalizing, and lower case folds it (or it is sharp s)."""
+    if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf", "Cn") or unicodedata.normalize("NFC", c) != c or c == "İ":
+        return False
+    if c.casefold() != c.lower() and c != "ß":
+        return False
+    if regex.match(r"[\p{WB=MidLetter}\p{WB=MidNumLet}\p{WB=MidNum}\p{WB=Single_Quote}\p{WB=ExtendNumLet}\p{WB=Numeric}]", c):
+        return c in ":·.‘’',;_0123456789"
+    return c.isalpha() == bool(regex.match(r"\p{WB=ALetter}", c))
+
+
+def _ranges(chars: list[int]) -> str:
+    out, first = [], None
+    for c in [*chars, None]:
+        if first is not None and c != last + 1:
+            out.append(f"\\x{{{first:x}}}-\\x{{{last:x}}}")
+            first = None
+        first = c if first is None else first
+        last = c
+    return "".join(out)
+
+
+#: A text without such characters is handled by built-in functions alone.
+NOT_PLAIN = f"[^{_ranges([c for r in (range(0x250), range(0x400, 0x530), range(0x2010, 0x205F), range(0x20A0, 0x20C0)) for c in r if _plain(chr(c))])}]"
+#: The same words in texts of plain characters; possessive, so that Java needs no stack for long ones.
+_PLAIN_RUN = r"(?:\p{L}++(?:[:·.‘’']\p{L}++)*+|[0-9]++(?:[,;.‘’'][0-9]++)*+)++"
+TOKEN = rf"(?<!_)_*+{_PLAIN_RUN}(?:_++{_PLAIN_RUN})*+_*+"
 
 
 @dataclass(frozen=True)
@@ -52,18 +89,18 @@ def normalize_all(tokens: list[str], options: TextOptions) -> list[str]:
     return [n for t in tokens if t is not None and (n := normalize_token(t, options)) is not None]
 
 
+def _lowered(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+
+
 def normalize_tokens(tokens: Column, options: TextOptions) -> Column:
     """Normalize an array of tokens; null tokens are dropped.
 
-    Lower case and stopwords are built-in functions; stems and diacritics need
-    an Arrow function, which does each distinct token of a batch once.
+    Tokens of plain characters are lower-cased by built-in functions; others,
+    stems and diacritics need an Arrow function, which does each distinct token
+    of a batch once.
     """
     present = F.filter(tokens, lambda t: t.isNotNull())
-    if not (options.stem_english or options.fold_diacritics):
-        out = F.transform(present, lambda t: F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))) if options.lowercase else present
-        if options.stopwords:
-            out = F.filter(out, lambda t: ~t.isin(*options.stopwords))
-        return out
 
     @F.pandas_udf("array<string>")
     def run(column: pd.Series) -> pd.Series:
@@ -76,20 +113,36 @@ def normalize_tokens(tokens: Column, options: TextOptions) -> Column:
 
         return column.map(lambda ts: None if ts is None else [n for t in ts if (n := one(t)) is not None])
 
-    return run(present)
+    if options.stem_english or options.fold_diacritics:
+        return run(present)
+    plain = ~F.array_join(present, " ").rlike(NOT_PLAIN)
+    out = F.transform(present, _lowered) if options.lowercase else present
+    if options.stopwords:
+        out = F.filter(out, lambda t: ~t.isin(*options.stopwords))
+    return F.when(plain, out).otherwise(run(F.when(~plain, present)))
 
 
 def tokenize(text: Column, options: TextOptions = TextOptions(lowercase=True)) -> Column:
-    """The normalized tokens of a text; null gives an empty array."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    if options.lowercase and not (options.stem_english or options.fold_diacritics):
-        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return normalize_tokens(words, options)
+    """The normalized tokens of a text; null gives an empty array.
+
+    A text of plain characters stays within built-in functions (but for stems
+    and diacritics); the others go through an Arrow function.
+    """
+    text = F.coalesce(text, F.lit(""))
 
+    @F.pandas_udf("array<string>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else tokenize_local(t, options))
 
-_PLAIN = re.compile(r"\w+(?:['’.]\w+)*")
+    if options.stem_english or options.fold_diacritics:
+        return run(text)
+    plain = ~text.rlike(NOT_PLAIN)
+    words = F.regexp_extract_all(_lowered(text) if options.lowercase else text, F.lit(TOKEN), F.lit(0))
+    if options.stopwords:
+        words = F.filter(words, lambda t: ~t.isin(*options.stopwords))
+    return F.when(plain, words).otherwise(run(F.when(~plain, text)))
 
 
 def tokenize_local(text: str, options: TextOptions = TextOptions(lowercase=True)) -> list[str]:
-    """tokenize() for one text on the driver."""
-    return normalize_all(_PLAIN.findall(unicodedata.normalize("NFC", text or "")), options)
+    """tokenize() for one text."""
+    return normalize_all(WORDS.findall(unicodedata.normalize("NFC", text or "")), options)

@@ -16,10 +16,11 @@ CANDIDATE = "source_name string, doc_id long, raw_value double, source_rank int,
 
 
 def fuse(lists: list[tuple[DataFrame, float | None]], k: int) -> DataFrame:
-    """doc_id, score and rank of the k best by the weighted sum of scores; a null weight is 1."""
+    """doc_id, score and rank of the k best by the weighted sum of scores; a null weight is 1; ties go by the text of doc_id."""
     every = [h.select("doc_id", (F.col("score") * F.lit(1.0 if w is None else float(w))).alias("score")) for h, w in lists]
     summed = reduce(DataFrame.unionByName, every).groupBy("doc_id").agg(F.sum("score").alias("score"))
-    return summed.orderBy(F.desc("score"), "doc_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    order = [F.round("score", 9).desc(), F.col("doc_id").cast("string")]
+    return summed.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
 def fuse_queries(queries: list[tuple[Index, str, float | None]], k: int = 10, candidate_k: int | None = None, **text) -> DataFrame:
@@ -28,6 +29,20 @@ def fuse_queries(queries: list[tuple[Index, str, float | None]], k: int = 10, ca
     return fuse([(search(index, q, n, **text), w) for index, q, w in queries], k)
 
 
+def weighted(queries: list[tuple[Index, str]], weights: list[float | None] | None = None) -> list[tuple[Index, str, float]]:
+    """Queries with their weights by position; a null or missing one is 1."""
+    given = list(weights or [])
+    if len(given) > len(queries):
+        raise QueryError("more weights than queries")
+    given += [None] * (len(queries) - len(given))
+    return [(index, text, 1.0 if w is None else float(w)) for (index, text), w in zip(queries, given, strict=True)]
+
+
+def fuse_fields(fields: dict[str, tuple[Index, str, float | None]], k: int = 10, candidate_k: int | None = None, **text) -> DataFrame:
+    """fuse_queries() of queries by field; the fields' names say nothing but what is meant."""
+    return fuse_queries(list(fields.values()), k, candidate_k, **text)
+
+
 def candidates(hits: DataFrame, source: str, value: str = "score", rank: str | None = "rank", weight: float = 1.0, normalizer: str | None = None, direction: str = "higher") -> DataFrame:
     """Hits (doc_id and a value) as candidates of one source."""
     if (normalizer or "identity").lower() not in NORMALIZERS or direction.lower() not in ("higher", "lower"):

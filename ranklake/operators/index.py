@@ -23,6 +23,7 @@ from ..plans.query import QueryError
 
 METHODS = ("robertson", "lucene", "atire", "bm25l", "bm25+")
 CONSISTENCY = ("realtime", "eventual", "manual")
+PRECISIONS = ("f32", "fp16", "u8")
 
 
 @dataclass(frozen=True)
@@ -47,10 +48,46 @@ class Options:
     text: TextOptions = field(default_factory=TextOptions)
     field_aware: bool = False
     consistency: str = "realtime"
+    sae: bool = False  # whether weighted atoms share the posting space
+    semantic_impact_precision: str = "f32"
+    semantic_alpha_mass: float = 1.0
 
     def __post_init__(self) -> None:
         if self.consistency not in CONSISTENCY:
             raise QueryError(f"consistency is one of {', '.join(CONSISTENCY)}")
+        if self.semantic_impact_precision not in PRECISIONS or not 0 < self.semantic_alpha_mass <= 1:
+            raise QueryError(f"precisions are {', '.join(PRECISIONS)}, alpha is over 0 and at most 1")
+        if self.sae and self.consistency != "eventual":
+            raise QueryError("an index with atoms is eventual")
+        if self.sae and self.scoring != Scoring():
+            raise QueryError("an index with atoms takes no options of BM25")
+        if not self.sae and (self.semantic_impact_precision, self.semantic_alpha_mass) != ("f32", 1.0):
+            raise QueryError("options of atoms need sae")
+
+
+def options_of(given: dict[str, object]) -> Options:
+    """Options by name, as index definitions state them; one of the other kind is an error, its default value too."""
+    own = dict(given)
+    sae = _flag(own.pop("sae", False))
+    bm25, ssr = ("k1", "b", "delta", "method", "idf_method"), ("semantic_impact_precision", "semantic_alpha_mass")
+    wrong = [k for k in own if k in (bm25 if sae else ssr)]
+    if wrong:
+        raise QueryError(f"{', '.join(wrong)}: not with sae = {str(sae).lower()}")
+    scoring = Scoring(**{k: own.pop(k) if k.endswith("method") else float(own.pop(k)) for k in bm25 if k in own})
+    text = TextOptions.of(_flag(own.pop("text_lowercase", True)), own.pop("text_stopwords", ()), _flag(own.pop("text_stem_english", False)), _flag(own.pop("text_fold_diacritics", False)))
+    rest = {k: own.pop(k) for k in ("consistency", *ssr) if k in own}
+    aware = _flag(own.pop("field_aware", False))
+    if own:
+        raise QueryError(f"no option {', '.join(own)}")
+    return Options(scoring, text, aware, sae=sae, **({"consistency": "eventual"} if sae else {}) | rest)
+
+
+def _flag(value: object) -> bool:
+    if isinstance(value, bool):
+        return value
+    if str(value).lower() not in ("true", "false", "on", "off"):
+        raise QueryError(f"{value} is neither true nor false")
+    return str(value).lower() in ("true", "on")
 
 
 @dataclass(frozen=True)
@@ -63,6 +100,7 @@ class Index:
     columns: tuple[str, ...]
     source_type: str
     stored: bool = False  # whether its parts are tables rather than plans over the source
+    pending: int = 0  # records of a log that its parts don't show
 
     def with_options(self, **changes) -> Index:
         return replace(self, options=replace(self.options, **changes))
@@ -109,11 +147,25 @@ def build(df: DataFrame, key: str, columns: list[str] | str, options: Options |
     fields = [F.struct(F.lit(c if options.field_aware else "").alias("field"), tokens_of(df, c, options.text).alias("tokens")) for c in columns]
     base = df.withColumn("_fields", F.array(*fields)).withColumnRenamed(key, "doc_id")
     documents = base.withColumn("tokens", F.flatten(F.transform("_fields", lambda f: f["tokens"]))).withColumn("dl", F.size("tokens").cast("long"))
-    flat = documents.select("doc_id", "dl", F.explode("_fields").alias("f")).select("doc_id", "dl", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term"))
-    postings = flat.groupBy("term", "field", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
-    corpus = documents.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
-    return Index(documents.drop("_fields"), postings, terms, corpus, options, tuple(columns), kinds.pop())
+    postings = counted(documents, F.col("_fields"))
+    return Index(documents.drop("_fields"), postings, frequencies(postings), sizes(documents), options, tuple(columns), kinds.pop())
+
+
+def counted(documents: DataFrame, fields: Column) -> DataFrame:
+    """The postings of documents (doc_id, dl) by fields, an array of field and tokens: counted within each row."""
+    runs = """element_at(transform(array(array_sort(f.tokens)), s -> element_at(transform(
+        array(CASE WHEN size(s) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] != s[i - 1]) END),
+        p -> transform(p, (x, k) -> named_struct('term', s[x], 'tf', cast(coalesce(get(p, k + 1), size(s)) - x AS bigint)))), 1)), 1)"""
+    flat = documents.select("doc_id", "dl", F.explode(fields).alias("f")).select("doc_id", "dl", F.col("f.field").alias("field"), F.explode(F.expr(runs)).alias("x"))
+    return flat.select("x.term", "field", "doc_id", "dl", "x.tf")
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "field").agg(F.count("*").alias("df"))
+
+
+def sizes(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
 
 
 def audit(index: Index) -> DataFrame:
@@ -132,13 +184,29 @@ def details(index: Index) -> DataFrame:
     d = index.documents.agg(F.count("*").alias("n_docs"), F.count_if(F.col("dl") == 0).alias("n_empty"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
     p = index.postings.agg(F.count("*").alias("n_postings"))
     t = index.terms.agg(F.count("*").alias("n_terms"))
-    return d.join(p).join(t).withColumn("source_type", F.lit(index.source_type)).withColumn("consistency", F.lit(index.options.consistency))
+    return d.join(p).join(t).withColumn("source_type", F.lit(index.source_type)).withColumn("consistency", F.lit(index.options.consistency)).withColumn("stale", F.lit(index.pending > 0)).withColumn("pending_records", F.lit(index.pending).cast("long"))
+
+
+def status(index: Index) -> dict:
+    """Readiness: query_ready, blocker ('none', 'no_terms' or 'pending_records'), counts and options.
+
+    An index without terms or, for consistency 'realtime', with records that it
+    doesn't show isn't ready; an 'eventual' or 'manual' one is ready but stale.
+    """
+    d = details(index).first().asDict()
+    blocker = "none"
+    if d["n_terms"] == 0:
+        blocker = "no_terms"
+    elif index.pending and index.options.consistency == "realtime":
+        blocker = "pending_records"
+    return {"query_ready": blocker == "none", "blocker": blocker, "index_type": "ssr" if index.options.sae else "bm25", **d, "options": describe(index)}
 
 
 def describe(index: Index) -> dict:
     """The options in effect."""
     o = index.options
     return {
+        "sae": o.sae, "semantic_impact_precision": o.semantic_impact_precision, "semantic_alpha_mass": o.semantic_alpha_mass,
         "columns": list(index.columns), "source_type": index.source_type, "field_aware": o.field_aware, "consistency": o.consistency,
         "k1": o.scoring.k1, "b": o.scoring.b, "delta": o.scoring.delta, "method": o.scoring.method, "idf_method": o.scoring.idf_method,
         "lowercase": o.text.lowercase, "stopwords": list(o.text.stopwords), "stem_english": o.text.stem_english, "fold_diacritics": o.text.fold_diacritics,

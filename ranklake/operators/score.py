@@ -9,13 +9,14 @@ one-row table, so that nothing is collected while a plan is made.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize_local
+from ..functions.text import TextOptions, tokenize, tokenize_local
 from ..plans import query as Q
 from .index import Index, Scoring
 
@@ -221,13 +222,16 @@ def scannable(index: Index, names: list[str]) -> bool:
     return not index.stored and not index.options.field_aware and len(names) <= SCANNED_TERMS
 
 
-def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None, weights=None, where: Column | None = None, allowed: DataFrame | None = None, mask: DataFrame | None = None, **text) -> DataFrame:
+def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None, weights=None, where: Column | None = None, allowed: DataFrame | None = None, mask: DataFrame | None = None, positive_only: bool = False, **text) -> DataFrame:
     """Rank documents for query texts; see plans.query for the language.
 
     where: a condition on the columns of the source; allowed: doc_id of the only
-    documents that count.  text: lowercase, stopwords, stem_english and
+    documents that count; positive_only: leave out documents without a score
+    over 0.  text: lowercase, stopwords, stem_english and
     fold_diacritics in place of the index's.
     """
+    if positive_only:
+        return search(index, queries, k, fields, weights, where, allowed, mask, **text).where("score > 0")
     queries = {0: queries} if isinstance(queries, str) else queries
     options = index.options.text.but(**text)
     parsed = {q: Q.normalized(Q.parse(t), options) for q, t in queries.items()}
@@ -262,13 +266,49 @@ def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None
     return out if out is not None else rank(index, None, [], 0)
 
 
+def search_native(index: Index, text: str, k: int = 10, where: str | None = None, **options) -> DataFrame:
+    """The k best rows of the source for a query: its columns, score and rank.
+
+    where: SQL of a condition on the source's columns; it may not hold a query
+    of its own.  What SQL would order by a ranking function and limit.
+    """
+    if where is not None and re.search(r"\b(select|exists)\b", where, re.IGNORECASE):
+        raise Q.QueryError("a condition is on columns of the source only")
+    hits = search(index, text, k, where=None if where is None else F.expr(where), **options).drop("query_id")  # k rows
+    source = index.documents.drop("tokens", "dl")
+    return source.join(F.broadcast(hits), "doc_id") if k <= 10_000 else source.join(hits, "doc_id")
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """A query text with the options in effect for it."""
+
+    index: Index
+    text: str
+    options: TextOptions
+    query: Q.Query
+
+
+def prepared(index: Index, text: str, **options) -> Prepared:
+    own = index.options.text.but(**options)
+    return Prepared(index, text, own, Q.normalized(Q.parse(text), own))
+
+
+def order_tokens(query: Prepared) -> list[str]:
+    """The tokens of the positive terms in the order of the text, for the order operator."""
+    return [t for x in Q.scored(query.query) for t in x.tokens]
+
+
+def search_prepared(query: Prepared, k: int = 10, **how) -> DataFrame:
+    o = query.options
+    return search(query.index, query.text, k, lowercase=o.lowercase, stopwords=o.stopwords, stem_english=o.stem_english, fold_diacritics=o.fold_diacritics, **how)
+
+
 def search_texts(index: Index, queries: DataFrame, k: int = 10, pad: bool = False) -> DataFrame:
     """Rank for a table of queries: query_id and text, tokenized like the index's documents (no operators).
 
     For any number of queries: their terms are a table like the postings.
     """
-    from ..functions.text import tokenize
-
     terms = queries.select("query_id", F.explode(tokenize(F.col("text"), index.options.text)).alias("term")).withColumn("field", F.lit("")).withColumn("weight", F.lit(1.0))
     scores, constant = contributions(index, terms)
     if pad:
@@ -287,7 +327,7 @@ def matches(index: Index, text: str, **options) -> DataFrame:
 
 def query_tokens(text: str, lowercase=True, stopwords=(), stem_english=False, fold_diacritics=False) -> list[str]:
     """The tokens of a query's positive terms, for overlap scores."""
-    from ..functions.text import TextOptions, normalize_all
+    from ..functions.text import normalize_all
 
     options = TextOptions.of(lowercase, stopwords, stem_english, fold_diacritics)
     return normalize_all([t for x in Q.scored(Q.parse(text)) for t in x.tokens], options)
@@ -309,4 +349,9 @@ def distance(tokens: Column, wanted: list) -> Column:
     return F.lit(0.0) - overlap(tokens, wanted)
 
 
-__all__ = ["Weighted", "contributions", "distance", "matches", "overlap", "query_tokens", "rank", "search", "search_texts", "search_tokens", "tokenize_local", "top"]
+def distance_of_text(text: Column, wanted: list) -> Column:
+    """The order operator on a text, which is tokenized in lower case: here its sign is that of the overlap; null stays null."""
+    return F.when(text.isNotNull(), overlap(tokenize(text, TextOptions(lowercase=True)), wanted))
+
+
+__all__ = ["Weighted", "contributions", "distance", "distance_of_text", "matches", "overlap", "query_tokens", "rank", "search", "search_texts", "search_tokens", "tokenize_local", "top"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,8 @@ from .index import Index
 from .score import contributions, search_tokens, top
 
 QUERY_ATOMS, DOCUMENT_ATOMS, WINDOW_TOKENS = 50, 192, 256
+#: Texts and bytes of a request to an encoder.
+REQUEST_TEXTS, REQUEST_BYTES = 512, 1_048_575
 Encoder = Callable[[Column], Column]
 
 
@@ -40,6 +42,49 @@ def hashed_encoder(atoms: int = 4096, size: int = 3) -> Encoder:
     return run
 
 
+def batches_of(texts: list[str | None], most: int = REQUEST_TEXTS, most_bytes: int = REQUEST_BYTES) -> Iterator[list[str]]:
+    """Texts in requests of bounded number and size; a text that is too long by itself is an error."""
+    out, size = [], 0
+    for t in texts:
+        n = len((t or "").encode())
+        if n > most_bytes:
+            raise QueryError(f"a text of {n} bytes is too long for a request of {most_bytes}")
+        if out and (len(out) == most or size + n > most_bytes):
+            yield out
+            out, size = [], 0
+        out.append(t or "")
+        size += n
+    if out:
+        yield out
+
+
+def batched(encode: Callable[[list[str]], list[list[tuple[int, float]]]]) -> Encoder:
+    """An encoder from any function of a bounded batch of texts to (atom, weight) pairs, say a model's."""
+
+    @F.pandas_udf("array<struct<atom int, weight double>>")
+    def run(texts: pd.Series) -> pd.Series:
+        found = [pairs for batch in batches_of(texts.tolist()) for pairs in encode(batch)]
+        return pd.Series([[{"atom": a, "weight": float(w)} for a, w in pairs] for pairs in found])
+
+    return run
+
+
+def token_windows(text: Column, path: str, length: int = WINDOW_TOKENS) -> Column:
+    """The ids of a text by a byte-level tokenizer file of the tokenizers library, in windows of at most ``length``; null has none."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        ids = [e.ids for e in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        return pd.Series([[x[i : i + length] for i in range(0, len(x), length)] for x in ids])
+
+    return run(text)
+
+
 def windows(tokens: Column, length: int = WINDOW_TOKENS) -> Column:
     """A document's tokens in windows, each joined by spaces."""
     n = F.greatest(F.lit(1), F.ceil(F.size(tokens) / length)).cast("int")
@@ -81,13 +126,18 @@ def by_budget(atoms: DataFrame, lexical: DataFrame, ratio: float) -> DataFrame:
 
 
 def as_precision(weight: Column, kind: str = "f32") -> Column:
-    """A weight as it comes back from f32, or from u8 on the scale 0 to 2 (0 is kept for nothing)."""
+    """A weight as it comes back from f32, fp16 (11 bits, halves to even, at most 65504), or u8 on the scale 0 to 2 (0 is kept for nothing)."""
+    if kind == "fp16":
+        power = F.floor(F.log2(F.greatest(weight, F.lit(2.0**-14))))
+        exact = F.when(F.pow(F.lit(2.0), power) > weight, power - 1).when(F.pow(F.lit(2.0), power + 1) <= weight, power + 1).otherwise(power)
+        step = F.pow(F.lit(2.0), F.greatest(exact, F.lit(-14)) - 10)
+        return F.least(F.lit(65504.0), F.rint(weight / step) * step)
     if kind == "f32":
         return weight.cast("float").cast("double")
     if kind == "u8":
         code = F.least(F.lit(255), F.greatest(F.lit(1), F.round(weight / 2 * 255)))
         return F.when(weight > 0, code / 255.0 * 2).otherwise(0.0)
-    raise QueryError("precisions are f32 and u8")
+    raise QueryError("precisions are f32, fp16 and u8")
 
 
 def heavy_hitters(atoms: DataFrame, n: int) -> DataFrame:

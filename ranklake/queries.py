@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.show import highlight, snippet
-from .functions.text import TOKEN, TextOptions, normalize_tokens, tokenize
+from .functions.text import TextOptions, normalize_tokens, tokenize
 from .operators import filters, fusion, metrics, semantic
-from .operators.index import METHODS, Index, Options, Scoring, audit, build
-from .operators.score import distance, matches, overlap, query_tokens, search, search_texts, search_tokens
-from .sources.tables import read
+from .operators.index import METHODS, Index, Options, Scoring, audit, build, describe, details, status
+from .operators.score import distance, distance_of_text, matches, order_tokens, overlap, prepared, query_tokens, search, search_native, search_prepared, search_texts, search_tokens
+from .sources.tables import load, read, save, shared_folder
 from .streaming import delta
 
 Q1, Q2, Q3 = "the thand reer", "licensed apache version", "la que de"
@@ -32,7 +32,9 @@ def _out(hits: DataFrame, *columns: str) -> DataFrame:
 
 # --- oracle SQL ------------------------------------------------------------
 
-LIT = TOKEN.replace("'", "''")
+# words of Latin text by the Unicode rules: letters with inner marks, numbers with inner marks, joined by underscores
+_RUN = r"(?:\p{L}+(?:[:·.‘’']\p{L}+)*|[0-9]+(?:[,;.‘’'][0-9]+)*)+"
+LIT = rf"_*{_RUN}(?:_+{_RUN})*_*".replace("'", "''")
 FOLDED = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
 TOKENS = f"regexp_extract_all({FOLDED}, '{LIT}')"
 
@@ -272,7 +274,8 @@ def batch_topk(spark, sf):
 
 _METRICS = f"""WITH {_base()}, q AS (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark), {_scores('q')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0),
-j AS (SELECT item_id AS query_id, doc_id, 1.0 + doc_id % 3 AS relevance FROM benchmark JOIN documents d ON d.doc_id % 40 = item_id % 40 AND d.doc_id < 400),
+j AS (SELECT query_id, doc_id, CASE WHEN dl > 150 THEN 2.0 ELSE 1.0 END AS relevance FROM (SELECT item_id AS query_id, {TOKENS}[1] AS word FROM benchmark)
+      JOIN (SELECT tok.doc_id, tokens[1] AS word, dl FROM tok JOIN dl USING (doc_id)) USING (word)),
 i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN n <= 10 THEN (pow(2, relevance) - 1) / log2(n + 1) ELSE 0 END) AS idcg
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC) AS n FROM j) GROUP BY query_id),
 m AS (SELECT r.query_id, r.rank, relevance, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS n FROM r JOIN j USING (query_id, doc_id) WHERE r.rank <= 200),
@@ -286,8 +289,9 @@ SELECT query_id, round(coalesce(dcg / idcg, 0), 6) AS ndcg_at_10, round(coalesce
 def metrics_query(spark, sf):
     bench = read(spark, sf, "benchmark")
     hits = search_texts(_index(spark, sf), bench.select(F.col("item_id").alias("query_id"), "text"), 200)
-    docs = read(spark, sf, "documents").where("doc_id < 400").select("doc_id", (F.col("doc_id") % 40).alias("m"))
-    judged = bench.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m")).join(docs, "m").select("query_id", "doc_id", (1.0 + F.col("doc_id") % 3).cast("double").alias("relevance"))
+    # a document that begins with the query's first word counts as relevant, a long one more
+    docs = _index(spark, sf).documents.select("doc_id", F.get("tokens", F.lit(0)).alias("word"), F.when(F.col("dl") > 150, 2.0).otherwise(1.0).alias("relevance"))
+    judged = bench.select(F.col("item_id").alias("query_id"), F.get(tokenize(F.col("text"), LOWER), F.lit(0)).alias("word")).join(docs, "word").drop("word")
     out = metrics.evaluate(hits, judged, 200)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "query_id"])
 
@@ -323,7 +327,7 @@ def snippet_query(spark, sf):
 _FUSION = f"""WITH {_base()}, q(query_id, term) AS (VALUES {_values({1: Q1, 2: Q2})}), {_scores('q')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s),
 u AS (SELECT 0 AS query_id, doc_id, sum(score * CASE query_id WHEN 1 THEN 2.0 ELSE 0.5 END) AS score FROM r WHERE rank <= 30 GROUP BY doc_id)
-SELECT doc_id, score FROM ({_top(10, 'u')})"""
+SELECT doc_id, round(score, 6) AS score FROM u ORDER BY round(score, 9) DESC, doc_id::VARCHAR LIMIT 10"""
 
 
 @query("fusion", _FUSION)
@@ -436,3 +440,171 @@ def delta_live(spark, sf):
 def delta_search(spark, sf):
     index = delta.indexed(read(spark, sf, "documents").select("doc_id", "text"), _log(spark, sf), "doc_id", "text", Options(text=LOWER))
     return _out(search(index, "purchase the", 12))
+
+
+_LIVE = f"WITH {_LOG}, {_base('docs')}, q(query_id, term) AS (VALUES (0, 'purchase'), (0, 'the')), {_scores('q')} {_top(12)}"
+
+
+def _base_index(spark, sf, consistency="realtime"):
+    return build(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", Options(text=LOWER, consistency=consistency))
+
+
+def _stored(spark, index):
+    path = shared_folder(spark, "index")
+    save(index, path)
+    return load(spark, path)
+
+
+@query("delta_overlaid", _LIVE)
+def delta_overlaid(spark, sf):
+    """The base's postings with the log laid over them."""
+    return _out(search(delta.overlaid(_base_index(spark, sf), _log(spark, sf)), "purchase the", 12))
+
+
+@query("delta_merged", _LIVE)
+def delta_merged(spark, sf):
+    """A stored base into which the log is merged."""
+    base = _stored(spark, _base_index(spark, sf, "eventual"))
+    return _out(search(delta.merged(base, _log(spark, sf), shared_folder(spark, "merged")), "purchase the", 12))
+
+
+@query("delta_manual", f"WITH {_base()}, q(query_id, term) AS (VALUES (0, 'purchase'), (0, 'the')), {_scores('q')} {_top(12)}")
+def delta_manual(spark, sf):
+    return _out(search(delta.overlaid(_base_index(spark, sf, "manual"), _log(spark, sf)), "purchase the", 12))
+
+
+@query("delta_status", "SELECT 'realtime' AS consistency, true AS query_ready, false AS stale, 0::BIGINT AS pending_records UNION ALL SELECT c, true, true, (SELECT count(*) FROM events) FROM (VALUES ('eventual'), ('manual')) v(c)")
+def delta_status(spark, sf):
+    rows = [status(delta.overlaid(_base_index(spark, sf, c), _log(spark, sf))) for c in ("realtime", "eventual", "manual")]
+    return spark.createDataFrame([(r["consistency"], r["query_ready"], r["stale"], r["pending_records"]) for r in rows], "consistency string, query_ready boolean, stale boolean, pending_records long")
+
+
+# --- stored indexes, ids, prepared queries, source rows -----------------------
+
+
+@query("stored_search", _sql(BATCH, 10))
+def stored_search(spark, sf):
+    return _out(search(_stored(spark, _index(spark, sf)), BATCH, 10))
+
+
+@query("stored_batch", _BATCH)
+def stored_batch(spark, sf):
+    queries = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return _out(search_texts(_stored(spark, _index(spark, sf)), queries, 10, pad=True))
+
+
+for _m in METHODS:
+    query(f"stored_{_m.replace('+', 'plus')}", _sql(BATCH, 10, _m))(lambda spark, sf, m=_m: _out(search(_stored(spark, _index(spark, sf, m)), BATCH, 10)))
+
+_IDS = "(SELECT l_orderkey, list((l_partkey % 100)::VARCHAR) AS t FROM lineitem GROUP BY l_orderkey)"
+
+
+@query("ids_topk", f"WITH {_base(_IDS, 't', 'l_orderkey')}, q(query_id, term) AS (VALUES (0, '5'), (0, '7'), (0, '7'), (0, '1000')), {_scores('q')} {_top(20)}")
+def ids_topk(spark, sf):
+    docs = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_partkey") % 100).cast("int")).alias("ids"))
+    return _out(search_tokens(build(docs, "l_orderkey", "ids"), {0: [5, 7, 7, 1000]}, 20))
+
+
+@query("index_details", f"WITH {_base()} SELECT (SELECT count(*) FROM dl) AS n_docs, (SELECT count(*) FROM dl WHERE dl = 0) AS n_empty, (SELECT sum(dl)::BIGINT FROM dl) AS total_len, (SELECT count(*) FROM p) AS n_postings, (SELECT count(*) FROM t) AS n_terms, 'text' AS source_type, 'realtime' AS consistency, false AS stale, 0::BIGINT AS pending_records")
+def index_details(spark, sf):
+    return details(_index(spark, sf))
+
+
+@query("index_options", "SELECT * FROM (VALUES ('b', '0.75'), ('consistency', 'realtime'), ('idf_method', 'lucene'), ('k1', '1.5'), ('lowercase', 'True'), ('method', 'lucene')) v(name, value)")
+def index_options(spark, sf):
+    found = describe(_index(spark, sf))
+    names = ("b", "consistency", "idf_method", "k1", "lowercase", "method")
+    return spark.createDataFrame([(n, str(found[n])) for n in names], "name string, value string")
+
+
+@query("native_search", _sql({0: Q1}, 10, among="tok.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 300)").replace("SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, rank FROM", "SELECT r.doc_id, round(score, 6) AS score, rank, d.lang, d.source, d.n_chars FROM", 1).replace(" WHERE rank <= 10", " r JOIN documents d USING (doc_id) WHERE rank <= 10"))
+def native_search(spark, sf):
+    """Hits with the columns of their rows."""
+    found = search_native(_index(spark, sf), Q1, 10, "lang = 'en' AND n_chars > 300")
+    return _out(found, "doc_id", "score", "rank", "lang", "source", "n_chars")
+
+
+@query("positive_topk", f"SELECT * FROM ({_sql({0: 'licensed version'}, 500)}) WHERE score > 0")
+def positive_topk(spark, sf):
+    return _out(search_prepared(prepared(_index(spark, sf), "Licensed version", lowercase=True), 500, positive_only=True))
+
+
+@query("distance_of_text", f"WITH {_base()} SELECT doc_id, (2 * ({_has('the')})::INT + ({_has('licensed')})::INT)::DOUBLE AS distance FROM tok")
+def distance_of_text_query(spark, sf):
+    wanted = order_tokens(prepared(_index(spark, sf), "The licensed the", lowercase=True))
+    return read(spark, sf, "documents").select("doc_id", F.coalesce(distance_of_text(F.col("text"), wanted), F.lit(0.0)).alias("distance"))
+
+
+# --- more of sparse vectors and of hybrid hits --------------------------------
+
+
+@query("hybrid_arrays", _hybrid_sql("1 / (60.0::DOUBLE + rank)").replace("string_agg(source, ',' ORDER BY source) AS sources", "string_agg(source, ',' ORDER BY source) AS sources, string_agg(round(raw * 1e6)::BIGINT::VARCHAR, ',' ORDER BY source) AS raw_values, string_agg(rank::VARCHAR, ',' ORDER BY source) AS ranks, string_agg(round(1e9 / (60.0::DOUBLE + rank))::BIGINT::VARCHAR, ',' ORDER BY source) AS normalized, string_agg(round(1e9 * weight / (60.0::DOUBLE + rank))::BIGINT::VARCHAR, ',' ORDER BY source) AS weighted").replace("SELECT doc_id, round(score, 6) AS score, source_count, sources FROM y", "SELECT doc_id, source_count, sources, raw_values, ranks, normalized, weighted FROM y"))
+def hybrid_arrays(spark, sf):
+    """The arrays of raw, normalized and weighted values and of ranks by source."""
+    index = _index(spark, sf)
+    words = fusion.candidates(search(index, Q1, 50), "bm25", weight=2.0)
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), (1.0 - F.round(F.col("embedding")[0].cast("double"), 6)).alias("score"))
+    near = fusion.candidates(vectors.orderBy("score", "doc_id").limit(50), "vector", rank=None, direction="lower")
+    out = fusion.hybrid(words.unionByName(near), 20, "rrf")
+    whole = lambda c, by: F.array_join(F.transform(c, lambda x: F.round(x * by).cast("long").cast("string")), ",")
+    return out.select("doc_id", "source_count", F.array_join("source_names", ",").alias("sources"), whole("raw_values", 1e6).alias("raw_values"), whole("ranks", 1).alias("ranks"), whole("normalized_scores", 1e9).alias("normalized"), whole("weighted_scores", 1e9).alias("weighted"))
+
+
+@query("fusion_fields", _FUSION)
+def fusion_fields(spark, sf):
+    index = _index(spark, sf)
+    (a, b) = fusion.weighted([(index, Q1), (index, Q2)], [2.0, 0.5])
+    return _out(fusion.fuse_fields({"title": a, "body": b}, 10, 30), "doc_id", "score")
+
+
+@query("atoms_by_budget", f"WITH {_base()}, {ATOMS}, n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id), r AS (SELECT a.*, n, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, atom) AS r FROM a JOIN n USING (doc_id)) SELECT doc_id, atom, round(weight, 6) AS weight FROM r WHERE r <= greatest(1, floor(n * 0.1))")
+def atoms_by_budget(spark, sf):
+    terms = _index(spark, sf).postings.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return semantic.by_budget(_atoms(spark, sf), terms, 0.1).withColumn("weight", F.round("weight", 6))
+
+
+_STEP = "pow(2, greatest(floor(log2(greatest(weight, pow(2, -14)))), -14) - 10)"
+
+
+@query("atoms_fp16", f"WITH {ATOMS} SELECT doc_id, atom, round(round_even(weight / {_STEP}, 0) * {_STEP}, 9) AS weight FROM a")
+def atoms_fp16(spark, sf):
+    return _atoms(spark, sf).select("doc_id", "atom", F.round(semantic.as_precision(F.col("weight"), "fp16"), 9).alias("weight"))
+
+
+@query("atoms_completed", f"WITH {ATOMS}, d AS (SELECT doc_id, n_chars % 3 AS version FROM documents) SELECT a.doc_id, atom, round(weight, 6) AS weight FROM a JOIN d ON a.doc_id = d.doc_id AND d.version = a.atom % 3")
+def atoms_completed(spark, sf):
+    """Atoms of the versions that documents have now."""
+    atoms = _atoms(spark, sf).withColumn("version", (F.col("atom") % 3).cast("long"))
+    docs = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 3).cast("long").alias("version"))
+    return delta.completed(docs, atoms).select("doc_id", "atom", F.round("weight", 6).alias("weight"))
+
+
+@query("atoms_calibrated", f"""WITH {ATOMS}, m AS (SELECT atom::VARCHAR AS name, sqrt(avg(weight * weight)) AS rms FROM a GROUP BY atom UNION ALL SELECT 'the', 0.9 UNION ALL SELECT 'thand', 0.2),
+l(term, weight) AS (VALUES ('the', 2.0), ('thand', 1.0)), s(atom, weight) AS (VALUES (3, 1.5), (7, 0.25)),
+x AS (SELECT sqrt(sum(pow(weight * rms, 2))) AS n FROM l JOIN m ON m.name = l.term), y AS (SELECT sqrt(sum(pow(weight * rms, 2))) AS n FROM s JOIN m ON m.name = s.atom::VARCHAR)
+SELECT 1::BIGINT AS query_id, atom, round(s.weight * greatest(0.1, least(10.0, x.n / y.n)), 6) AS weight FROM s, x, y""")
+def atoms_calibrated(spark, sf):
+    rms = _atoms(spark, sf).groupBy(F.col("atom").cast("string").alias("name")).agg(F.sqrt(F.avg(F.col("weight") * F.col("weight"))).alias("rms"))
+    rms = rms.unionByName(spark.createDataFrame([("the", 0.9), ("thand", 0.2)], "name string, rms double"))
+    terms = spark.createDataFrame([(1, "the", 2.0), (1, "thand", 1.0)], "query_id long, term string, weight double")
+    wanted = spark.createDataFrame([(1, 3, 1.5), (1, 7, 0.25)], "query_id long, atom int, weight double")
+    return semantic.calibrated(terms, wanted, rms).withColumn("weight", F.round("weight", 6))
+
+
+def _length_encoder(text):
+    """Atoms are lengths of words, weights log(1 + how many words have it)."""
+    sizes = F.transform(F.split(text, " "), lambda w: F.char_length(w))
+    count = lambda n: F.size(F.filter(sizes, lambda s: s == n))
+    return F.transform(F.array_distinct(sizes), lambda n: F.struct(n.alias("atom"), F.log(1.0 + count(n)).alias("weight")))
+
+
+_POOLED = f"""WITH {_base()}, w AS (SELECT doc_id, (i - 1) // 256 AS win, len(x) AS atom, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS x, generate_subscripts(tokens, 1) AS i FROM tok) GROUP BY ALL),
+m AS (SELECT doc_id, atom, max(ln(1.0 + n)) AS weight FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, atom) AS r FROM m)
+SELECT doc_id, atom::INT AS atom, round(weight, 6) AS weight FROM r WHERE r <= 6"""
+
+
+@query("semantic_pooled", _POOLED)
+def semantic_pooled(spark, sf):
+    """The pooling of windows, with an encoder that SQL can express."""
+    docs = _index(spark, sf).documents.where("dl > 0")
+    return semantic.pooled(docs, "doc_id", "tokens", _length_encoder, 6).withColumn("weight", F.round("weight", 6))

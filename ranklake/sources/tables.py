@@ -3,31 +3,56 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import TextOptions
-from ..operators.index import Index, Options, Scoring
+from ..operators.index import Index, Options, Scoring, counted, frequencies, sizes
 from ..plans.query import QueryError
 
-VERSION = 1
+VERSION = 2
 PARTS = ("documents", "postings", "terms", "corpus")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that driver and executors share; a local one only where all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise QueryError("name a folder that all executors share in spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="ranklake-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def save(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Write an index; postings lie sorted by term, so that a query's terms prune files and row groups."""
-    for part in PARTS:
-        df = getattr(index, part)
-        if part == "postings":
-            df = df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    """Write an index; postings lie sorted by term, so that a query's terms prune files and row groups.
+
+    Texts are taken apart once: the documents' tokens are written first, and the
+    other parts are made from what is stored.  Ranges are cut by term and
+    document, so that a frequent term spreads over files.
+    """
+    spark = index.documents.sparkSession
+
+    def put(df: DataFrame, part: str) -> DataFrame:
         df.write.mode(mode).parquet(f"{path}/{part}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{part}")
+
+    documents = put(index.documents, "documents")
+    plain = not index.options.field_aware and not index.stored
+    postings = counted(documents, F.array(F.struct(F.lit("").alias("field"), "tokens"))) if plain else index.postings
+    postings = put(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+    put(frequencies(postings), "terms")
+    put(sizes(documents), "corpus")
     meta = json.dumps({"version": VERSION, "columns": index.columns, "source_type": index.source_type, "options": asdict(index.options)})
-    spark = index.documents.sparkSession
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 
 
@@ -41,7 +66,6 @@ def peek(spark: SparkSession, path: str) -> dict:
 def load(spark: SparkSession, path: str) -> Index:
     meta = peek(spark, path)
     o = meta["options"]
-    text = TextOptions.of(**o["text"])
-    options = Options(Scoring(**o["scoring"]), text, o["field_aware"], o["consistency"])
+    options = Options(**(o | {"scoring": Scoring(**o["scoring"]), "text": TextOptions.of(**o["text"])}))
     parts = [spark.read.parquet(f"{path}/{p}") for p in PARTS]
     return Index(*parts, options, tuple(meta["columns"]), meta["source_type"], True)

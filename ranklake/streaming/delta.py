@@ -7,12 +7,15 @@ columns.  Statistics are those of live documents only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import Index, Options, build
+from ..sources import tables
 
 #: Log records after which, and seconds by which at the latest, a log is merged into its base.
 MOST_RECORDS, LONGEST_S = 65_536, 3600
@@ -38,6 +41,45 @@ def indexed(base: DataFrame, log: DataFrame, key: str, columns: list[str] | str,
     return build(docs, key, columns, options)
 
 
+def overlaid(base: Index, log: DataFrame, key: str = "doc_id") -> Index:
+    """The index of what its consistency shows, from a base index and a log, without building the base again.
+
+    The base's parts without the changed documents, and those of the new
+    versions; frequencies and totals are added and taken away, so they are exact
+    for live documents.  'manual' shows the base alone.  ``pending`` counts the
+    records that a reader doesn't see ('manual') or that aren't in the base
+    ('eventual': it is exact here, but stale until merged()).
+    """
+    pending = log.count() if base.options.consistency != "realtime" else 0
+    if base.options.consistency == "manual":
+        return replace(base, pending=pending)
+    last = latest(log, key)
+    gone = last.select(F.col(key).alias("doc_id"))
+    source = [c if c != "doc_id" else key for c in base.documents.columns if c not in ("tokens", "dl")]
+    new = build(last.where("op = 'upsert'").select(*source), key, list(base.columns), base.options)
+    old = base.documents.select("doc_id", "dl").join(gone, "doc_id", "left_semi")
+    lost = base.postings.join(gone, "doc_id", "left_semi").groupBy("term", "field").agg((-F.count("*")).alias("df"))
+    parts = [base.terms.select("term", "field", "df"), lost, new.terms.select("term", "field", "df")]
+    terms = reduce(DataFrame.unionByName, parts).groupBy("term", "field").agg(F.sum("df").alias("df")).where("df > 0")
+    left = old.agg((-F.count("*")).alias("n_docs"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("total_len"))
+    corpus = base.corpus.select("n_docs", "total_len").unionByName(left).unionByName(new.corpus).agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
+    documents = base.documents.join(gone, "doc_id", "left_anti").select(*base.documents.columns).unionByName(new.documents.select(*base.documents.columns))
+    postings = base.postings.join(gone, "doc_id", "left_anti").select("term", "field", "doc_id", "dl", "tf").unionByName(new.postings)
+    return replace(base, documents=documents, postings=postings, terms=terms, corpus=corpus, stored=True, pending=pending)
+
+
+def merged(base: Index, log: DataFrame, path: str, key: str = "doc_id") -> Index:
+    """Write the base with its log applied as a new stored index: the log's records up to now can go."""
+    full = replace(overlaid(base.with_options(consistency="realtime"), log, key), pending=0)
+    tables.save(full.with_options(consistency=base.options.consistency), path)
+    return tables.load(base.documents.sparkSession, path)
+
+
+def merged_if_due(base: Index, log: DataFrame, path: str, seconds: float, key: str = "doc_id") -> Index:
+    """merged() if the log has grown or waited long enough; else the base as it is."""
+    return merged(base, log, path, key) if due(log.count(), seconds) else base
+
+
 def due(records: int, seconds: float, most: int = MOST_RECORDS, longest: float = LONGEST_S) -> bool:
     """Whether a log should be merged into its base now."""
     return records >= most or (records > 0 and seconds >= longest)

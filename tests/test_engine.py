@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import math
 import os
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -14,8 +15,8 @@ from ranklake import queries
 from ranklake.functions.show import highlight, snippet
 from ranklake.functions.text import TextOptions, normalize_all, tokenize, tokenize_local
 from ranklake.operators import filters, fusion, semantic
-from ranklake.operators.index import Options, Scoring, audit, build, describe, details, recommend
-from ranklake.operators.score import distance, matches, overlap, query_tokens, search, search_tokens
+from ranklake.operators.index import Options, Scoring, audit, build, describe, details, options_of, recommend, status
+from ranklake.operators.score import distance, distance_of_text, matches, order_tokens, overlap, prepared, query_tokens, search, search_native, search_prepared, search_tokens
 from ranklake.plans import query as Q
 from ranklake.sources import tables
 from ranklake.streaming import delta
@@ -128,6 +129,49 @@ def test_text_functions(spark):
     assert tokenize_local("Cat, and dog!", TextOptions.of(True, "and")) == ["cat", "dog"]
 
 
+WORDS = [
+    ("Can't stop e-mail at mail3.example.com", ["can't", "stop", "e", "mail", "at", "mail3", "example.com"]),
+    ("3.14 1,000;2 a1b2 _x_ __ x_1", ["3.14", "1,000;2", "a1b2", "_x_", "x_1"]),
+    ("foo:bar it’s", ["foo:bar", "it’s"]),
+    ("STRASSE Straße", ["strasse", "strasse"]),
+    ("ΟΔΟΣ Οδός οδος", ["οδοσ", "οδόσ", "οδοσ"]),  # a final sigma is a sigma
+    ("caf\u0065\u0301 CAF\u00c9", ["café", "café"]),  # decomposed and composed
+    ("漢字かカタ 한국어", ["漢", "字", "か", "カタ", "한국어"]),
+    ("ﬁne İx", ["fine", "i̇x"]),
+    ("", []),
+    ("a" * 9000 + "1a" * 9000, ["a" * 9000 + "1a" * 9000]),
+]
+
+
+def test_words_and_folding_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WORDS)], "i int, t string")
+    found = {r.i: r.w for r in df.select("i", tokenize(F.col("t")).alias("w")).collect()}
+    for i, (text, words) in enumerate(WORDS):
+        assert found[i] == words and tokenize_local(text) == words
+
+
+def test_documents_and_queries_fold_alike(spark):
+    """Each word is found in a document that spells it otherwise."""
+    pairs = [("ΛΟΓΟΣ", "λογος"), ("cafe\u0301", "CAFÉ"), ("Straße", "STRASSE"), ("ﬁne", "FINE"), ("İ", "i̇"), ("ǰ", "J\u030c")]
+    texts = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(pairs)], "id long, t string")
+    arrays = texts.select("id", F.array("t").alias("t"))
+    for df in (texts, arrays):
+        index = build(df, "id", "t", Options(text=TextOptions(lowercase=True)))
+        for i, (d, q) in enumerate(pairs):
+            assert [r.doc_id for r in matches(index, q).collect()] == [i] == [r.doc_id for r in matches(index, d).collect()]
+
+
+@pytest.mark.parametrize("text", ["bird cat missing", "+cat -bird", '"cat bird"'])
+@pytest.mark.parametrize("method", ["robertson", "lucene", "atire", "bm25l", "bm25+"])
+def test_scans_and_postings_rank_alike(spark, tokens, text, method, monkeypatch):
+    from ranklake.operators import score
+
+    own = tokens.with_options(scoring=Scoring(method=method, idf_method=method))
+    scanned = got(search(own, text, 4))
+    monkeypatch.setattr(score, "SCANNED_TERMS", -1)
+    near(got(search(own, text, 4)), scanned)
+
+
 def test_highlight_and_snippet(spark):
     df = spark.createDataFrame([(["zero", "one", "two", "cat", "bird", "three", "four"],)], "t array<string>")
     h, s = df.select(highlight(F.col("t"), "bi* cat", "<mark>", "</mark>"), snippet(F.col("t"), '"cat bird"', 4, "<mark>", "</mark>")).first()
@@ -184,6 +228,58 @@ def test_bad_options():
     assert recommend("write_first")["consistency"] == "manual"
 
 
+def test_options_of_both_kinds():
+    assert options_of({"k1": "1.2", "text_stopwords": "a, b"}).scoring.k1 == 1.2
+    own = options_of({"sae": "true", "semantic_impact_precision": "fp16"})
+    assert own.sae and own.consistency == "eventual"
+    for bad in ({"sae": True, "k1": 1.5}, {"semantic_alpha_mass": 1.0}, {"sae": True, "consistency": "realtime"}, {"no": 1}, {"sae": "maybe"}, {"sae": True, "semantic_alpha_mass": 0.0}):
+        with pytest.raises(Q.QueryError):
+            options_of(bad)
+
+
+def test_prepared_and_native(six, tokens):
+    p = prepared(six, '"Blue bird" -fox +River')
+    assert order_tokens(p) == ["blue", "bird", "river"]
+    assert got(search_prepared(prepared(six, "blue -fox +blue"), 6)) == got(search(six, "blue -fox +blue", 6))
+    rows = search_native(six, "blue bird", 3, "body LIKE '%forest'").collect()
+    assert [(r.doc_id, r.body) for r in rows] == [(2, SIX[2])] and rows[0].score > 0
+    assert len(got(search(tokens, "cat", 4, positive_only=True))) == 2
+    with pytest.raises(Q.QueryError):
+        search_native(six, "blue", 3, "doc_id IN (SELECT 1)")
+
+
+def test_distance_of_text(spark):
+    df = spark.createDataFrame([("The CAT, the dog",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(distance_of_text(F.col("t"), ["cat", "the", "the", "x"])).collect()] == [3.0, None, 0.0]
+
+
+def test_requests_and_windows(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert [len(b) for b in semantic.batches_of(["x"] * 1100)] == [512, 512, 76]
+    assert [len(b) for b in semantic.batches_of(["é" * 300_000] * 3 + [None])] == [1, 1, 2]
+    with pytest.raises(Q.QueryError):
+        list(semantic.batches_of(["x" * 1_048_576]))
+    encoder = semantic.batched(lambda texts: [[(len(t), 1.0)] for t in texts])
+    df = spark.createDataFrame([("two",), (None,)], "t string")
+    assert [[tuple(a) for a in r[0]] for r in df.select(encoder(F.col("t"))).collect()] == [[(3, 1.0)], [(0, 1.0)]]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "some words of a longer text " * 100
+    out = spark.createDataFrame([(text,), (None,)], "t string").select(semantic.token_windows(F.col("t"), path)).collect()
+    assert max(map(len, out[0][0])) == 256 and sum(out[0][0], []) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids and out[1][0] == []
+
+
+def test_half_precision(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = np.concatenate([[0.0, 2.0**-24, 2.0**-25, 1.5 * 2.0**-24, 65504.0, 1.0, 2.0, 1.99999, 1 + 2.0**-11, 1 + 3 * 2.0**-11], np.exp(rng.normal(0, 4, 500))])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    found = [r[0] for r in df.select(semantic.as_precision(F.col("v"), "fp16")).collect()]
+    assert found == [min(float(np.float16(v)), 65504.0) for v in values]
+
+
 def test_semantic(spark):
     atoms = spark.createDataFrame([(1, 1, 3.0), (1, 2, 1.0), (1, 3, 0.5), (2, 1, 1.0)], "doc_id long, atom int, weight double")
     assert sorted(tuple(r)[:2] for r in semantic.by_mass(atoms, 0.8).collect()) == [(1, 1), (1, 2), (2, 1)]
@@ -206,7 +302,35 @@ def test_stream_of_changes(spark, tmp_path):
     assert delta.due(0, 1e9) is False and delta.due(65_536, 0) and delta.due(1, 3600)
 
 
-CHECKED = ["bm25_bm25plus", "index_terms", "ranked_or_not", "ranked_prefix", "filter_overlap", "weight_mask", "columns_field_aware", "batch_topk", "hybrid_zscore", "delta_search", "snippet"]
+@pytest.mark.parametrize("stored", [False, True])
+def test_a_log_over_a_base(spark, tmp_path, stored):
+    rows = list(enumerate(SIX))
+    log = spark.createDataFrame([(1, "upsert", 7, "blue bird again"), (2, "retire", 0, None), (3, "upsert", 2, "red tree"), (4, "upsert", 7, "blue tree"), (5, "retire", 99, None)], "seq long, op string, doc_id long, text string")
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    options = Options(text=TextOptions(lowercase=True))
+    index = build(base, "doc_id", "text", options)
+    if stored:
+        tables.save(index, str(tmp_path / "base"))
+        index = tables.load(spark, str(tmp_path / "base"))
+    rebuilt = delta.indexed(base, log, "doc_id", "text", options)
+    full = delta.overlaid(index, log)
+    for own in (full, delta.merged(index, log, str(tmp_path / "next"))):
+        for part in ("documents", "postings", "terms", "corpus"):
+            cols = [c for c in ("doc_id", "term", "field", "tf", "dl", "df", "n_docs", "total_len") if c in getattr(rebuilt, part).columns]
+            rows_of = lambda i: sorted(map(tuple, getattr(i, part).select(*cols).collect()))  # noqa: E731, B023
+            assert rows_of(own) == rows_of(rebuilt)
+        assert got(search(own, "blue tree", 6)) == got(search(rebuilt, "blue tree", 6))
+        assert set(audit(own).first()) == {0}
+    lazy = delta.overlaid(index.with_options(consistency="eventual"), log)
+    assert status(lazy)["query_ready"] and status(lazy)["stale"] and lazy.pending == 5
+    manual = delta.overlaid(index.with_options(consistency="manual"), log)
+    assert manual.corpus.first().n_docs == 6 and status(manual)["stale"]
+    late = replace(index, pending=3)
+    assert status(late)["blocker"] == "pending_records"
+    assert delta.merged_if_due(index, log, str(tmp_path / "no"), 1.0) is index
+
+
+CHECKED = ["delta_overlaid", "stored_search", "metrics", "ids_topk", "native_search", "hybrid_arrays", "atoms_fp16", "semantic_pooled", "bm25_bm25plus", "index_terms", "ranked_or_not", "ranked_prefix", "filter_overlap", "weight_mask", "columns_field_aware", "batch_topk", "hybrid_zscore", "delta_search", "snippet"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
