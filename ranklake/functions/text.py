@@ -46,8 +46,9 @@ def _ranges(chars: list[int]) -> str:
     return "".join(out)
 
 
-#: A text without such characters is handled by built-in functions alone.
-NOT_PLAIN = f"[^{_ranges([c for r in (range(0x250), range(0x400, 0x530), range(0x2010, 0x205F), range(0x20A0, 0x20C0)) for c in r if _plain(chr(c))])}]"
+#: Texts of such characters alone are handled by built-in functions.  ASCII by itself, for that is one comparison.
+_PLAIN_LETTERS = _ranges([c for r in (range(0x80, 0x250), range(0x400, 0x530), range(0x2010, 0x205F), range(0x20A0, 0x20C0)) for c in r if _plain(chr(c))])
+PLAIN = rf"\A[\x00-\x7f]*+(?:[{_PLAIN_LETTERS}]++[\x00-\x7f]*+)*+\z"
 #: The same words in texts of plain characters; possessive, so that Java needs no stack for long ones.
 _PLAIN_RUN = r"(?:\p{L}++(?:[:·.‘’']\p{L}++)*+|[0-9]++(?:[,;.‘’'][0-9]++)*+)++"
 TOKEN = rf"(?<!_)_*+{_PLAIN_RUN}(?:_++{_PLAIN_RUN})*+_*+"
@@ -115,11 +116,11 @@ def normalize_tokens(tokens: Column, options: TextOptions) -> Column:
 
     if options.stem_english or options.fold_diacritics:
         return run(present)
-    plain = ~F.array_join(present, " ").rlike(NOT_PLAIN)
+    plain = F.array_join(present, " ").rlike(PLAIN)
     out = F.transform(present, _lowered) if options.lowercase else present
     if options.stopwords:
         out = F.filter(out, lambda t: ~t.isin(*options.stopwords))
-    return F.when(plain, out).otherwise(run(F.when(~plain, present)))
+    return F.coalesce(run(F.when(~plain, present)), out)  # null where the array is plain
 
 
 def tokenize(text: Column, options: TextOptions = TextOptions(lowercase=True)) -> Column:
@@ -136,11 +137,11 @@ def tokenize(text: Column, options: TextOptions = TextOptions(lowercase=True)) -
 
     if options.stem_english or options.fold_diacritics:
         return run(text)
-    plain = ~text.rlike(NOT_PLAIN)
+    plain = text.rlike(PLAIN)
     words = F.regexp_extract_all(_lowered(text) if options.lowercase else text, F.lit(TOKEN), F.lit(0))
     if options.stopwords:
         words = F.filter(words, lambda t: ~t.isin(*options.stopwords))
-    return F.when(plain, words).otherwise(run(F.when(~plain, text)))
+    return F.coalesce(run(F.when(~plain, text)), words)  # null where the text is plain
 
 
 def tokenize_local(text: str, options: TextOptions = TextOptions(lowercase=True)) -> list[str]:

@@ -151,13 +151,16 @@ def build(df: DataFrame, key: str, columns: list[str] | str, options: Options |
     return Index(documents.drop("_fields"), postings, frequencies(postings), sizes(documents), options, tuple(columns), kinds.pop())
 
 
-def counted(documents: DataFrame, fields: Column) -> DataFrame:
-    """The postings of documents (doc_id, dl) by fields, an array of field and tokens: counted within each row."""
-    runs = """element_at(transform(array(array_sort(f.tokens)), s -> element_at(transform(
-        array(CASE WHEN size(s) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i] != s[i - 1]) END),
-        p -> transform(p, (x, k) -> named_struct('term', s[x], 'tf', cast(coalesce(get(p, k + 1), size(s)) - x AS bigint)))), 1)), 1)"""
-    flat = documents.select("doc_id", "dl", F.explode(fields).alias("f")).select("doc_id", "dl", F.col("f.field").alias("field"), F.explode(F.expr(runs)).alias("x"))
-    return flat.select("x.term", "field", "doc_id", "dl", "x.tf")
+def counted(documents: DataFrame, fields: Column, by_range: bool = False) -> DataFrame:
+    """The postings of documents (doc_id, dl) by fields, an array of field and tokens.
+
+    by_range: tokens are dealt by ranges of term and document before they are
+    counted, so that counting and a sorted table need one shuffle.
+    """
+    flat = documents.select("doc_id", "dl", F.explode(fields).alias("f")).select("doc_id", "dl", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term"))
+    if by_range:
+        flat = flat.repartitionByRange("term", "doc_id")
+    return flat.groupBy("term", "field", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def frequencies(postings: DataFrame) -> DataFrame:

@@ -107,9 +107,12 @@ def scan(index: Index, docs: DataFrame, rows: list[tuple[int, str, float]], cond
     """
     s = index.options.scoring
     names = sorted({t for _, t, _ in rows})
-    stats = index.documents.agg(F.count("*").cast("double").alias("_n"), F.try_divide(F.sum("dl"), F.count("*")).alias("_avgdl"), F.array(F.lit(0.0), *[F.count_if(F.array_contains("tokens", t)).cast("double") for t in names]).alias("_df"))
-    tf = F.array(F.lit(0.0), *[occurrences(F.col("tokens"), t) for t in names])
-    counted = one_row(docs.select(*docs.columns, tf.alias("_tf")), stats)
+    # each text's tokens are looked through once; what is counted then are the few that the queries name
+    named = F.filter("tokens", lambda x: x.isin(*names)).alias("_hits") if names else F.array().cast("array<string>").alias("_hits")
+    stats = index.documents.select("dl", named).agg(F.count("*").cast("double").alias("_n"), F.try_divide(F.sum("dl"), F.count("*")).alias("_avgdl"), F.array(F.lit(0.0), *[F.count_if(F.array_contains("_hits", t)).cast("double") for t in names]).alias("_df"))
+    tf = F.array(F.lit(0.0), *[occurrences(F.col("_hits"), t) for t in names])
+    hit = docs.select(*docs.columns, named)
+    counted = one_row(hit.select(*docs.columns, tf.alias("_tf")), stats)
     absent, dl = absent_part(s), F.col("dl").cast("double")
     factor = F.lit(1.0)
     if mask is not None:

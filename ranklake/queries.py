@@ -457,8 +457,8 @@ def _stored(spark, index):
 
 @query("delta_overlaid", _LIVE)
 def delta_overlaid(spark, sf):
-    """The base's postings with the log laid over them."""
-    return _out(search(delta.overlaid(_base_index(spark, sf), _log(spark, sf)), "purchase the", 12))
+    """A stored base's postings with the log laid over them."""
+    return _out(search(delta.overlaid(_stored(spark, _base_index(spark, sf)), _log(spark, sf)), "purchase the", 12))
 
 
 @query("delta_merged", _LIVE)

@@ -48,8 +48,8 @@ def save(index: Index, path: str, mode: str = "errorifexists") -> None:
 
     documents = put(index.documents, "documents")
     plain = not index.options.field_aware and not index.stored
-    postings = counted(documents, F.array(F.struct(F.lit("").alias("field"), "tokens"))) if plain else index.postings
-    postings = put(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+    postings = counted(documents, F.array(F.struct(F.lit("").alias("field"), "tokens")), True) if plain else index.postings.repartitionByRange("term", "doc_id")
+    postings = put(postings.sortWithinPartitions("term", "doc_id"), "postings")
     put(frequencies(postings), "terms")
     put(sizes(documents), "corpus")
     meta = json.dumps({"version": VERSION, "columns": index.columns, "source_type": index.source_type, "options": asdict(index.options)})
