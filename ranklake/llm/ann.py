@@ -14,14 +14,18 @@ that cosine meet the query in full.
 
 Equal vectors are searched once: of those only the smallest ids can be among
 the nearest, so each distinct vector carries a few ids, and equal queries share
-an answer.  Buckets are dealt to blocks of ``BLOCK`` vectors and of queries, so
-a hot bucket spreads over tasks.  Queries for which the tables yield too few
-candidates meet all vectors, in blocks.
+an answer.  Small buckets of one table are put together to blocks of about
+``BLOCK`` vectors, so that a query goes to a few blocks of each table and brings
+one list of its best back from each; a hot bucket is dealt to blocks of its own.
+Queries for which the tables yield too few candidates meet all vectors, in
+blocks.  A block keeps all vectors that tie with the last one in its matrix
+product, scores them exactly and then cuts by score and id.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows with a null id; vectors of another length
 than the query are no candidates; repeated rows count once; of one id's several
-vectors the nearest counts.
+vectors the nearest counts; an empty table gives an empty table; columns besides
+key and vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TABLES, PROBES, BLOCK, SEED = 8, 16, 8192, 8
+TABLES, PROBES, BLOCK, SEED = 8, 16, 32_768, 8
+#: Products held at once.
+PRODUCTS = 1 << 22
 #: Shells of norm to a doubling, and the share of vectors at a cosine that tables must find to be trusted.
 SHELLS, SURE = 4, 0.95
 
@@ -109,34 +115,51 @@ def valid(vector: str) -> Column:
 
 
 def _best(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best vectors of this block: query id, vector id, exact score."""
+    """For each query its k best of the vectors: query id, vector id, exact score; ties to the smaller id."""
     out: list[tuple] = []
-    for i in range(0, len(q), 1024):
-        s = q[i : i + 1024] @ v.T
-        m = min(k, len(v))
-        near = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(v) else np.tile(np.arange(len(v)), (len(s), 1))
-        row, col = np.repeat(np.arange(i, i + len(s)), near.shape[1]), near.ravel()
-        out.append((qid[row], vid[col], (q[row] * v[col]).sum(axis=1)))
+    step = max(1, PRODUCTS // max(len(v), 1))
+    far = np.sqrt((v**2).sum(axis=1)).max() * q.shape[1] * 2.0**-50
+    for i in range(0, len(q), step):
+        part = q[i : i + step]
+        s = part @ v.T
+        if k < len(v):
+            least = np.partition(s, len(v) - k, axis=1)[:, len(v) - k] - far * np.sqrt((part**2).sum(axis=1))
+            row, col = np.nonzero(s >= least[:, None])
+        else:
+            row, col = np.divmod(np.arange(s.size), len(v))
+        exact = np.concatenate([np.zeros(0), *((part[row[j : j + 65_536]] * v[col[j : j + 65_536]]).sum(axis=1) for j in range(0, len(row), 65_536))])
+        out.append(firsts(qid[i + row], vid[col], exact, k))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
+def firsts(q: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query; ties to the smaller id."""
+    order = np.lexsort((vid, -score, q))
+    q, vid, score = q[order], vid[order], score[order]
+    begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+    return q[place < k], vid[place < k], score[place < k]
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows of each query, itself left out."""
     spark = rows.sparkSession
     C.ship(spark)
     most = k + 1  # a query may find itself
-    plain = rows.select(rows[f"`{key}`"].cast("long").alias("id"), rows[f"`{vector}`"].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    plain = plain.where(F.col("id").isNotNull() & valid("v"))
+    given = rows.schema[vector].dataType.elementType.simpleString()  # floats travel as floats
+    v = rows[f"`{vector}`"] if given == "float" else rows[f"`{vector}`"].cast("array<double>")
+    plain = rows.select(rows[f"`{key}`"].cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    plain = plain.where(F.col("id").isNotNull() & valid("v")).withColumn("h", F.xxhash64("v"))
     # of equal vectors the smallest ids; the limit is applied before rows are moved
-    order = Window.partitionBy("v").orderBy("id")
-    some = plain.select("id", "v").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= most)
-    groups = some.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    groups = C.table(groups.select(F.element_at("ids", 1).alias("gid"), "ids", "v"), "vectors")
-    asks = plain.where("q").select("id", "v").join(groups.select("gid", "v"), "v").select(F.col("id").alias("query_id"), "gid").distinct()
+    order = Window.partitionBy("h", "v").orderBy("id")
+    some = plain.select("id", "h", "v").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= most)
+    groups = some.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    groups = C.table(groups.select(F.element_at("ids", 1).alias("gid"), "ids", "h", "v"), "vectors")
+    asks = plain.where("q").select("id", "h", "v").join(groups.select("gid", "h", "v"), ["h", "v"]).select(F.col("id").alias("query_id"), "gid").distinct()
     asks = C.table(asks, "asks")
     vectors = groups.select("gid", "v", F.size("v").alias("d"))
     queries = vectors.join(asks.select("gid").distinct(), "gid", "left_semi")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     total, low, high = vectors.agg(F.count("*"), F.min(norm), F.max(norm)).first()
     even = not total or low > 0.999 * high
 
@@ -197,27 +220,42 @@ def best_ids(found: DataFrame, groups: DataFrame, most: int) -> DataFrame:
 
 
 def meet(placed: DataFrame, probed: DataFrame, vectors: DataFrame, most: int, block: int) -> DataFrame:
-    """q, gid, score: the best vectors of each block for the queries that probe its bucket."""
+    """q, gid, score: the best vectors of each block for the queries that probe its buckets."""
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     asked = probed.groupBy("bucket").agg(F.count("*").alias("m"))
-    shape = sizes.join(asked, "bucket").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("m") / block).cast("int").alias("mb"))
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        x = side.join(shape, "bucket").join(vectors.select("gid", "v"), "gid")
-        mine = F.pmod(F.xxhash64("gid"), F.col(own).cast("long")).cast("int").alias(own)
-        x = x.select("bucket", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other), "gid", "v")
-        return x.select(*[F.col(c).alias(f"{c}_") for c in ("bucket", "mb", "nb")], F.col("gid").alias("gid_"), F.col("v").alias("v_")).toDF("bucket", "mb", "nb", "gid", "v")
-
-    left, right = dealt(probed, "mb", "nb"), dealt(placed, "nb", "mb")
-    keys = ["bucket", "mb", "nb"]
+    # buckets of one table (its number stands above 24 bits) fill blocks one after another; large ones are by themselves
+    both = sizes.join(asked, "bucket").withColumn("t", F.shiftright("bucket", 24))
+    big = F.col("n") > block
+    before = F.sum(F.when(big, 0).otherwise(F.col("n"))).over(Window.partitionBy("t").orderBy("bucket")) - F.when(big, 0).otherwise(F.col("n"))
+    both = both.withColumn("grp", F.xxhash64("t", F.when(big, F.col("bucket")).otherwise(F.lit(-1)), F.when(big, 0).otherwise(F.floor(before / block))))
+    shape = both.withColumn("nbs", F.ceil(F.col("n") / block).cast("int")).withColumn("mbs", F.ceil(F.sum("m").over(Window.partitionBy("grp")) / block).cast("int")).select("bucket", "grp", "nbs", "mbs")
+
+    def dealt(side: DataFrame, own: str, other: str, bucket: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("gid"), F.col(f"{own}s").cast("long")).cast("int").alias(own)
+        x = side.select("grp", bucket, mine, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other), "gid").join(vectors.select("gid", "v"), "gid")
+        return x.select(*[F.col(c).alias(f"{c}_") for c in ("grp", "mb", "nb", bucket, "gid", "v")]).toDF("grp", "mb", "nb", bucket, "gid", "v")
+
+    once = probed.join(shape, "bucket").groupBy("grp", "gid").agg(F.collect_set("bucket").alias("buckets"), F.max("nbs").alias("nbs"), F.max("mbs").alias("mbs"))
+    left, right = dealt(once, "mb", "nb", "buckets"), dealt(placed.join(shape, "bucket"), "nb", "mb", "bucket")
+    keys = ["grp", "mb", "nb"]
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            none = pa.array([], pa.int64())
-            return pa.table({"q": none, "gid": none, "score": pa.array([], pa.float64())})
-        qv, vv = a["v"].combine_chunks(), b["v"].combine_chunks()
-        width = len(qv[0])
-        q, g, s = _best(matrix(qv, width), a["gid"].to_numpy(), matrix(vv, width), b["gid"].to_numpy(), most)
+        found: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            own = b["bucket"].to_numpy()
+            order = np.argsort(own, kind="stable")
+            own, vid = own[order], b["gid"].to_numpy()[order]
+            lists, qid = a["buckets"].combine_chunks(), a["gid"].to_numpy()
+            wanted, of = lists.flatten().to_numpy(), np.repeat(np.arange(a.num_rows), np.diff(lists.offsets.to_numpy()))
+            width = len(a["v"][0])
+            q, v = matrix(a["v"].combine_chunks(), width), matrix(b["v"].combine_chunks(), width)[order]
+            for x in np.unique(wanted).tolist():
+                low, high = np.searchsorted(own, [x, x + 1])
+                if high > low:
+                    asks = of[wanted == x]
+                    found.append(_best(q[asks], qid[asks], v[low:high], vid[low:high], most))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        q, g, s = firsts(*(np.concatenate([empty[j], *(f[j] for f in found)]) for j in range(3)), most)
         return pa.table({"q": q, "gid": g, "score": s})
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "q long, gid long, score double")
