@@ -1,42 +1,57 @@
 """WARC archives with payload dedup, and a globally ordered capture index (operator 9).
 
-Method: pages are written as WARC/1.1 records by Spark's own writer, so that the
-files are committed whole into the shared folder.  Reading an archive back gives
-a run of captures sorted by URL key and timestamp.  Runs are cut at common
-splitters; each range is merged from its runs' pieces by a k-way loser tree,
-and the ranges follow each other, so that capture histories are in global order.
-Splitters include timestamp and page, hence one URL's history can span ranges.
+Method: pages become WARC/1.1 records, each a gzip member of its own, so that
+the offset and length of a capture address its record.  Spark's text writer puts
+them into files of about ``FILE_BYTES``, committed whole into the shared folder;
+its line end is an empty gzip member, which decompresses to nothing.  Reading an
+archive back, record by record, gives a run of captures sorted by URL key and
+timestamp.  Runs are cut at common splitters; each range is merged from its
+runs' pieces by a k-way loser tree, and the ranges follow each other, so that
+capture histories are in global order.  The merge is external: Spark's sorter,
+which spills, lays the pieces of a range one after another, a file of the task
+mapped into memory holds them, and the tree keeps one row of each.  Splitters
+go down to run and offset, hence one URL's history can span ranges.
 
 Defined results: null html is an empty payload; a null url leaves the header out
 and sorts first; of equal payloads of at least ``least`` bytes the record of
 the largest page_id is the response, all others revisit it; repeated rows of that
-page_id are all responses; rows with a null page_id never are what others refer to.
+page_id are all responses; rows with a null page_id never are what others refer
+to; a record longer than ``FILE_BYTES`` is a file by itself; an empty table gives
+an empty index; columns besides the named ones are not read.  Without a column
+of dates, records are dated by page_id (seconds after the year 2000), so that
+results can be repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Records in an archive at most, and captures to a range of the merge, about.
-PER_FILE, RANGE = 4000, 100_000
+#: Bytes of compressed records in an archive, captures to a range of the merge, about, and ranges at most.
+FILE_BYTES, RANGE, MOST_RANGES = 32 << 20, 100_000, 20_000
+#: What every gzip member begins with here, and an empty member.
+MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 FIELDS = "run string, offset long, length long, urlkey string, timestamp string, url string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long"
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000) -> DataFrame:
-    """page_id, url, html, size, digest (SHA-1), record_type and refers_to of each row."""
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, date: str | None = None) -> DataFrame:
+    """page_id, url, html, date, size, digest (SHA-1), record_type and refers_to of each row; date: a column of timestamps."""
+    made_up = F.timestamp_seconds(F.lit(946684800) + F.pmod(F.coalesce(pages[f"`{key}`"].cast("long"), F.lit(0)), F.lit(1_000_000_000)))
     plain = pages.select(
-        pages[f"`{key}`"].cast("long").alias("page_id"), pages[f"`{url}`"].cast("string").alias("url"), F.coalesce(pages[f"`{html}`"].cast("string"), F.lit("")).alias("html")
-    )
+        pages[f"`{key}`"].cast("long").alias("page_id"), pages[f"`{url}`"].cast("string").alias("url"), F.coalesce(pages[f"`{html}`"].cast("string"), F.lit("")).alias("html"),
+        (F.coalesce(pages[f"`{date}`"].cast("timestamp"), made_up) if date else made_up).alias("date"),
+    )
     sized = plain.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     seen = sized.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = sized.join(seen, "digest", "left")
@@ -44,14 +59,15 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
 
-def write(found: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Write the output of records() as gzipped WARC files into a folder."""
+def write(found: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write the output of records() as WARC files into a folder, a gzip member to a record."""
+    C.ship(found.sparkSession)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
-    when = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
@@ -62,26 +78,60 @@ def write(found: DataFrame, path: str, per_file: int = PER_FILE) -> None:
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
     )
-    whole = F.concat(head, line("Content-Length", F.octet_length("_block").cast("string")), F.lit("\r\n"), "_block")
+    whole = F.concat(head, line("Content-Length", F.octet_length("_block").cast("string")), F.lit("\r\n"), "_block", F.lit(END))
     out = found.withColumn("_block", block).select(whole.alias("value"))
-    out.write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
-
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, headers (names in lower case) and block of each record of an archive."""
+    @C.lean
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, size = 0, 0
+        for b in batches:
+            for i, j in C.slices(b.column(0), 4 << 20):
+                made, of = [], []
+                for record in b.column(0).slice(i, j - i):
+                    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    made.append(pack.compress(record.as_buffer()) + pack.flush())
+                    if size and size + len(made[-1]) > file_bytes:
+                        file, size = file + 1, 0
+                    size += len(made[-1])
+                    of.append(file)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(made, pa.binary())], names=["archive", "value"])
+
+    made = out.mapInArrow(members, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))  # its bytes, unchanged
+    made.write.partitionBy("archive").option("lineSep", MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
+def member(data: memoryview, at: int, step: int = 1 << 14) -> tuple[bytes, int]:
+    """What the gzip member at a place holds, and where it ends."""
+    unpack, parts, end = zlib.decompressobj(31), [], at
+    while not unpack.eof:
+        chunk = data[end : end + step]
+        if not len(chunk):
+            raise ValueError(f"the member at {at} is cut off")
+        parts.append(unpack.decompress(chunk))
+        end += len(chunk)
+    return b"".join(parts), end - len(unpack.unused_data)
+
+
+def parse(data: memoryview) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers (names in lower case) and block of each record of an archive, one after another."""
     at = 0
     while at < len(data):
-        cut = data.index(b"\r\n\r\n", at)
-        first, *rest = data[at:cut].decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}
-        start = cut + 4
-        end = start + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} is cut off")
-        yield at, end + 4 - at, headers, data[start:end]
-        at = end + 4
+        record, end = member(data, at)
+        if record:
+            yield at, end - at, *headers_and_block(record, at)
+        at = end
+
+
+def headers_and_block(record: bytes, at: int = 0) -> tuple[dict[str, str], bytes]:
+    cut = record.index(b"\r\n\r\n")
+    first, *rest = record[:cut].decode("utf-8").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no record at {at}")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}
+    end = cut + 4 + int(headers["content-length"])
+    if record[end:] != b"\r\n\r\n":
+        raise ValueError(f"the record at {at} is cut off")
+    return headers, record[cut + 4 : end]
 
 
 def url_key(url: str | None) -> str:
@@ -122,15 +172,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     C.ship(spark)
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (f.split(" ") for f in FIELDS.split(", "))])
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = zlib.decompress(content.as_buffer(), 31)
-                own = name.rpartition("/")[2]
-                found = sorted((capture(own, *r) for r in parse(data)), key=order)
+                own = "/".join(name.split("/")[-2:])
+                found = sorted((capture(own, *r) for r in parse(memoryview(content.as_buffer()))), key=order)
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, FIELDS)
 
 
@@ -180,35 +230,83 @@ def merge(captures: DataFrame, size: int = RANGE) -> DataFrame:
     spark = captures.sparkSession
     C.ship(spark)
     stored = C.table(captures, "captures")
-    parts = C.pieces(stored.count(), size, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = stored.repartitionByRange(parts, "urlkey", "timestamp", F.coalesce("page_id", F.lit(-1)))
+    parts = min(C.pieces(stored.count(), size, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+    keys = ["urlkey", "timestamp", F.coalesce("page_id", F.lit(-1))]
+    dealt = stored.repartitionByRange(parts, *keys, "run", "offset").sortWithinPartitions("run", *keys, "offset")
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         me = TaskContext.get().partitionId()
-        runs: dict[str, list[dict]] = {}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for x in b.to_pylist():
-                runs.setdefault(x["run"], []).append(x)
-        if schema is None:
-            return
-        for r in runs.values():  # pieces of a run come in order; if the shuffle has mixed them, once more
-            if any(order(x) > order(y) for x, y in zip(r, r[1:], strict=False)):
-                r.sort(key=order)
-        merged = list(LoserTree([iter(runs[k]) for k in sorted(runs)], order))
-        out = schema.append(pa.field("part", pa.int32())).append(pa.field("place", pa.int64()))
-        for i in range(0, len(merged), 10_000):
-            yield pa.RecordBatch.from_pylist([x | {"part": me, "place": i + k} for k, x in enumerate(merged[i : i + 10_000])], schema=out)
+        # the task's own spill: it has no name any more when it is read
+        with tempfile.NamedTemporaryFile() as f:
+            rows, writer, ends, last = 0, None, [], None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                writer = writer or pa.ipc.new_file(f, b.schema)
+                writer.write_batch(b)
+                of = b.column(0).dictionary_encode()
+                use, names = of.indices.to_numpy(), of.dictionary.to_pylist()
+                new = np.flatnonzero(np.append(names[use[0]] != last, use[1:] != use[:-1]))
+                ends += (rows + new).tolist()
+                last, rows = names[use[-1]], rows + b.num_rows
+            if writer is None:
+                return
+            writer.close()
+            f.flush()
+            source = pa.memory_map(f.name)
+        with source:
+            pieces = pa.ipc.open_file(source)
+            held = [pieces.get_batch(i) for i in range(pieces.num_record_batches)]  # mapped, not read
+            starts = np.cumsum([0, *(b.num_rows for b in held)])
+            merged = LoserTree([captured(held, starts, i, j) for i, j in zip(ends, [*ends[1:], rows], strict=True)], lambda x: x[0])
+            out: list[tuple[int, int]] = []
+            place = 0
+            for _, k, i in merged:
+                out.append((k, i))
+                if len(out) == MERGED:
+                    yield gathered(held, out, me, place)
+                    out, place = [], place + MERGED
+            if out:
+                yield gathered(held, out, me, place)
 
     return dealt.mapInArrow(run, f"{FIELDS}, part int, place long")
 
 
-def archive(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000) -> DataFrame:
+#: Captures that the merge returns at once.
+MERGED = 8192
+
+
+def captured(held: list[pa.RecordBatch], starts: np.ndarray, first: int, end: int) -> Iterator[tuple[tuple, int, int]]:
+    """The order, batch and row of the captures of a run's piece."""
+    k = int(np.searchsorted(starts, first, side="right")) - 1
+    while first < end:
+        i, j = first - int(starts[k]), min(end, int(starts[k + 1])) - int(starts[k])
+        for low in range(i, j, 64):
+            part = held[k].slice(low, min(64, j - low)).select(["urlkey", "timestamp", "page_id", "run", "offset"])
+            for n, x in enumerate(part.to_pylist(), low):
+                yield order(x), k, n
+        first, k = int(starts[k + 1]), k + 1
+
+
+def gathered(held: list[pa.RecordBatch], rows: list[tuple[int, int]], part: int, place: int) -> pa.RecordBatch:
+    """The named rows of the batches, in the order given."""
+    of, at = np.array(rows, np.int64).T
+    own = np.unique(of)
+    some = pa.Table.from_batches([held[k].take(pa.array(at[of == k])) for k in own.tolist()]).combine_chunks()
+    back = np.empty(len(rows), np.int64)
+    back[np.argsort(of, kind="stable")] = np.arange(len(rows))
+    t = some.take(pa.array(back)).combine_chunks()
+    columns = [c.chunk(0) for c in t.columns]
+    names = [*t.column_names, "part", "place"]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), part, np.int32)), pa.array(np.arange(place, place + len(rows)))], names=names)
+
+
+def archive(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, date: str | None = None) -> DataFrame:
     """Write the pages, read the archives back and return the merged capture index."""
     spark = pages.sparkSession
     folder = path or C.scratch_path(spark, "warc")
-    write(records(pages, key, url, html, least), folder)
+    write(records(pages, key, url, html, least, date), folder)
     return merge(read(spark, folder))
