@@ -37,7 +37,7 @@ from . import lexicon as L
 #: Words in the lexicon and bytes in one: with these its size is under 40 MB.
 LEXICON_WORDS, LEXICON_BYTES = 131_072, 48
 #: Text handled at once.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: The longest piece that is merged side by side with others, and how many are.
 SIDE_BY_SIDE, AT_ONCE = 48, 16_384
 NONE = np.int32(1 << 30)
@@ -91,9 +91,8 @@ class Merger:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
         keys = np.array([a << 20 | b for a, b in self.pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.rank = np.array([r for r, _ in self.pairs.values()], np.int32)[order]
+        self.places = L.Places(keys)
+        self.rank = np.array([*(r for r, _ in self.pairs.values()), NONE], np.int32)  # NONE: for no place
         self.made = np.zeros(len(keys) + 1, np.int32)
         self.made[[r for r, _ in self.pairs.values()]] = [m for _, m in self.pairs.values()]
         self.start = np.concatenate([self.inner, self.final])
@@ -110,9 +109,7 @@ class Merger:
         return out
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) << 20 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], NONE)
+        return self.rank[self.places.of(a.astype(np.int64) << 20 | b)]
 
     def side_by_side(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of at most width bytes: in each, the first pair of least rank is merged, again and again.
@@ -305,8 +302,8 @@ class Codec:
 def build_lexicon(docs: DataFrame, text: str = "text", path: str | None = None, words: int = LEXICON_WORDS) -> bytes:
     """Count the words of all texts and compile the most frequent ones, in one task.
 
-    Each task adds its counts up first; words of one or two occurrences in a
-    slice aren't counted there.  What comes to the driver is the buffer, bounded
+    Each task adds its counts up first; words that occur once in a slice aren't
+    counted there.  What comes to the driver is the buffer, bounded
     by ``words``.
     """
     C.ship(docs.sparkSession)
@@ -321,7 +318,7 @@ def build_lexicon(docs: DataFrame, text: str = "text", path: str | None = None,
                 found = flat.value_counts()
                 w, n = found.field(0), found.field(1)
                 size = pc.binary_length(w)
-                keep = pc.and_(pc.greater(n, 2), pc.and_(pc.greater(size, 0), pc.less_equal(size, LEXICON_BYTES)))
+                keep = pc.and_(pc.greater(n, 1), pc.and_(pc.greater(size, 0), pc.less_equal(size, LEXICON_BYTES)))
                 yield pa.RecordBatch.from_arrays([w.filter(keep).cast(pa.binary()), n.filter(keep)], schema=schema)
 
     @C.lean

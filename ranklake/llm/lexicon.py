@@ -83,6 +83,41 @@ def mapped(buffer: bytes) -> memoryview:
         os.close(fd)
 
 
+class Places:
+    """Where each of distinct keys (at least 0) stands in a list, by open addressing; many are looked up at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(8, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.places = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self.slots(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            own, first = np.unique(slot[free], return_index=True)
+            self.keys[own], self.places[own] = keys[left[free[first]]], left[free[first]]
+            lost = np.ones(len(left), bool)
+            lost[free[first]] = False
+            left, slot = left[lost], slot[lost] + 1 & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self.slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.places[slot], -1)
+        go = np.flatnonzero((found != keys) & (found >= 0))
+        slot = slot[go]
+        while len(go):
+            slot = slot + 1 & self.mask
+            found, wanted = self.keys[slot], keys[go]
+            out[go] = np.where(found == wanted, self.places[slot], -1)
+            more = (found != wanted) & (found >= 0)
+            go, slot = go[more], slot[more]
+        return out
+
+
 class Lexicon:
     """Looks many words up at once in a mapped buffer."""
 
@@ -103,6 +138,7 @@ class Lexicon:
         self.finals = take("u1", states)
         at += -states % 8
         self.ids = take("<u4", int(head["ids"]))
+        self.arcs = Places(self.keys)
 
     def ranks(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """For words data[start : start + size]: each one's rank, or -1."""
@@ -116,9 +152,8 @@ class Lexicon:
         step = 0
         while len(rows):
             key = state << 8 | data[begin + step]
-            arc = np.searchsorted(self.keys, key)
-            arc[arc == len(self.keys)] = 0
-            alive = self.keys[arc] == key
+            arc = self.arcs.of(key)
+            alive = arc >= 0
             rows, arc, begin, size = rows[alive], arc[alive], begin[alive], size[alive]
             state, rank = self.targets[arc], rank[alive] + self.weights[arc]
             step += 1

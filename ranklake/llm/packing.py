@@ -8,14 +8,19 @@ solved by revised simplex; a knapsack dynamic program prices new patterns until
 none helps or the Farley bound shows that little is left to gain.  Patterns are
 rounded down, what then is left over is packed first-fit by falling length, and
 documents, ranked within their class, take the patterns' slots by arithmetic.
-Only the histogram (at most length / GRAIN counts) comes to the driver.
+Remainders of at most ``SHORT`` tokens, for which a class is too coarse, first
+form bundles of equal ones that fill whole classes exactly.  Only the histogram
+(at most ``length`` counts) comes to the driver.
 
 Defined results: a null or empty text still has its end id and so is packed;
-repeated rows are packed each by itself; an empty table gives no pieces.
+repeated rows are packed each by itself; remainders of equal length are ranked by
+row number; a very long text fills sequences of its own but for its remainder;
+an empty table gives no pieces; columns besides key and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from . import common as C
 
-#: Tokens to a class of remainders; relative gap at which the linear program may stop.
-GRAIN, GAP = 8, 3e-4
-#: Documents that one task ranks, about.
-RANKED = 200_000
+#: Tokens to a class of remainders; remainders that form bundles; relative gap at which the linear program may stop.
+GRAIN, SHORT, GAP = 8, 64, 3e-4
+#: Documents of one remainder that are ranked together, about.
+RANKED = 1000
 
 
 def knapsack(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -128,7 +133,33 @@ def slots(found: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), np.int64).reshape(-1, 5), base
 
 
-def assign(lengths: DataFrame, length: int = 2048, grain: int = GRAIN) -> DataFrame:
+class Items:
+    """By remainder: how many rows make an item, its class, and which item of the class the first one is."""
+
+    def __init__(self, counts: np.ndarray, grain: int, short: int = SHORT) -> None:
+        r = np.arange(len(counts))
+        self.per = np.array([grain // math.gcd(grain, x) if 0 < x <= short and x * grain < len(counts) else 1 for x in r.tolist()])
+        self.bundles = counts // self.per * (r > 0)
+        self.single = -(-r // grain)  # the class of a row by itself
+        self.bundle = np.where(self.per > 1, self.per * r // grain, self.single)
+        rest = np.where(self.per > 1, counts - self.bundles * self.per, 0) * (r > 0)
+        demand = np.zeros(-(-len(counts) // grain) + 1, np.int64)
+        self.first, self.first_rest = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        for x in r[1:].tolist():
+            for own, n, w in ((self.first, self.bundles[x], self.bundle[x]), (self.first_rest, rest[x], self.single[x])):
+                own[x] = demand[w]
+                demand[w] += n
+        self.demand = demand[1:]
+
+    def of(self, r: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and place in it of the item that rows of a remainder and rank belong to."""
+        item = rank // self.per[r]
+        whole = item < self.bundles[r]
+        place = np.where(whole, self.first[r] + item, self.first_rest[r] + rank - self.bundles[r] * self.per[r])
+        return np.where(whole, self.bundle[r], self.single[r]), place
+
+
+def assign(lengths: DataFrame, length: int = 2048, grain: int = GRAIN, ranked: int = RANKED) -> DataFrame:
     """Where the pieces of each row go.
 
     lengths: a stored table of ``rid`` (unique) and ``n`` tokens (1 at least).
@@ -137,47 +168,46 @@ def assign(lengths: DataFrame, length: int = 2048, grain: int = GRAIN) -> DataFr
     """
     spark = lengths.sparkSession
     C.ship(spark)
-    rest = F.col("n") % length
-    rows = lengths.select("rid", "n", rest.alias("r"), F.ceil(rest / grain).cast("int").alias("w"))
-    counts = {r["w"]: r["count"] for r in rows.groupBy("w").count().collect()}
-    total = sum(counts.values())
-    demand = np.zeros(length // grain, np.int64)
-    for w, n in counts.items():
-        if w:
-            demand[w - 1] = n
-    table, sequences = slots(patterns(demand, length // grain))
-    shared = spark.sparkContext.broadcast(table)
-    salt = F.pmod(F.xxhash64("rid"), F.lit(C.pieces(total, RANKED)))
-    rows = rows.withColumn("salt", salt)
-    # ranks within classes, and the whole pieces before a row: within each salt, then the salts before
-    by = Window.partitionBy("w", "salt").orderBy("rid")
-    ranked = rows.withColumn("k", F.row_number().over(by) - 1).withColumn("f", F.sum((F.col("n") / length).cast("long")).over(by) - (F.col("n") / length).cast("long"))
-    groups = rows.groupBy("w", "salt").agg(F.count("*").alias("c"), F.sum((F.col("n") / length).cast("long")).alias("q"))
-    before = Window.partitionBy("w").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    whole = (F.col("n") / length).cast("long")
+    rows = lengths.select("rid", "n", (F.col("n") % length).cast("int").alias("r"), whole.alias("m"))
+    counts = np.zeros(length, np.int64)
+    for r, n in rows.groupBy("r").count().collect():  # at most ``length`` counts
+        counts[r] = n
+    items = Items(counts, grain)
+    table, sequences = slots(patterns(items.demand, length // grain))
+    shared = spark.sparkContext.broadcast((table, items))
+    # hot remainders are ranked in parts: within each, then the parts before
+    parts = ",".join(map(str, (-(-counts // ranked)).clip(1).tolist()))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.split(F.lit(parts), ",")[F.col("r")].cast("long")))
+    by = Window.partitionBy("r", "salt").orderBy("rid")
+    each = rows.withColumn("k", F.row_number().over(by) - 1).withColumn("f", F.sum("m").over(by) - F.col("m"))
+    groups = rows.groupBy("r", "salt").agg(F.count("*").alias("c"), F.sum("m").alias("q"))
+    before = Window.partitionBy("r").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     within = groups.withColumn("c0", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    whole = groups.groupBy("w").agg(F.sum("q").alias("qw"))  # a row for each class
-    over = Window.orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = whole.withColumn("q1", F.coalesce(F.sum("qw").over(over), F.lit(0))).select("w", "q1")
-    within = within.withColumn("q0", F.coalesce(F.sum("q").over(before), F.lit(0))).join(firsts, "w")
-    placed = ranked.join(within.select("w", "salt", "c0", "q0", "q1"), ["w", "salt"])
-    placed = placed.select("rid", "n", "r", "w", (F.col("k") + F.col("c0")).alias("rank"), (F.lit(sequences) + F.col("f") + F.col("q0") + F.col("q1")).alias("full_base"))
-    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("full_base", pa.int64()), ("sequence_id", pa.int64()), ("w", pa.int32())])
+    over = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = groups.groupBy("r").agg(F.sum("q").alias("qr"))  # a row for each remainder
+    firsts = firsts.withColumn("q1", F.coalesce(F.sum("qr").over(over), F.lit(0))).select("r", "q1")
+    within = within.withColumn("q0", F.coalesce(F.sum("q").over(before), F.lit(0))).join(firsts, "r")
+    placed = each.join(within.select("r", "salt", "c0", "q0", "q1"), ["r", "salt"])
+    placed = placed.select("rid", "n", "r", (F.col("k") + F.col("c0")).alias("rank"), (F.lit(sequences) + F.col("f") + F.col("q0") + F.col("q1")).alias("full_base"))
+    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("full_base", pa.int64()), ("sequence_id", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        t, own = shared.value
         key = t[:, 0] << 40 | t[:, 1]
         for b in batches:
-            w, rank = b.column("w").to_numpy().astype(np.int64), b.column("rank").to_numpy()
-            at = np.searchsorted(key, w << 40 | rank, side="right") - 1
-            has = w > 0
-            seq = np.full(len(w), -1, np.int64)
-            seq[has] = t[at[has], 3] + (rank[has] - t[at[has], 1]) // t[at[has], 4]
-            yield C.batch(schema, b.column("rid"), b.column("n").cast(pa.int64()), b.column("r").cast(pa.int64()), b.column("full_base"), pa.array(seq, mask=~has), b.column("w"))
-
-    done = placed.mapInArrow(place, "rid long, n long, r long, full_base long, sequence_id long, w int")
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("w"), "rid").rowsBetween(Window.unboundedPreceding, -1)
+            r = b.column("r").to_numpy().astype(np.int64)
+            w, item = own.of(r, b.column("rank").to_numpy())
+            at = np.searchsorted(key, w << 40 | item, side="right") - 1
+            has = r > 0
+            seq = np.full(len(r), -1, np.int64)
+            seq[has] = t[at[has], 3] + (item[has] - t[at[has], 1]) // t[at[has], 4]
+            yield C.batch(schema, b.column("rid"), b.column("n").cast(pa.int64()), pa.array(r), b.column("full_base"), pa.array(seq, mask=~has))
+
+    done = placed.mapInArrow(place, "rid long, n long, r long, full_base long, sequence_id long")
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("r"), "rid").rowsBetween(Window.unboundedPreceding, -1)
     packed = done.where("sequence_id is not null").withColumn("offset", F.coalesce(F.sum("r").over(inside), F.lit(0)))
-    return packed.unionByName(done.where("sequence_id is null").withColumn("offset", F.lit(None).cast("long"))).drop("r", "w")
+    return packed.unionByName(done.where("sequence_id is null").withColumn("offset", F.lit(None).cast("long"))).drop("r")
 
 
 def with_end(ids: np.ndarray, end: int) -> np.ndarray:
@@ -215,6 +245,7 @@ def pack_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", lengt
     shared = spark.sparkContext.broadcast(bpe.build_lexicon(docs, text, path))
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crcs", pa.list_(pa.int64()))])
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.Codec.of(file, shared.value)
         for b in batches:
