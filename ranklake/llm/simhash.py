@@ -6,13 +6,16 @@ t_i (-1: the part is left out) add up to tau - parts + 1.  A dynamic program
 allots unequal thresholds from candidate counts estimated on a bounded sample,
 which decides about speed only.  A probe key is a part with t_i of its bits
 masked.  Fingerprints that share a key meet in one group and are verified; a
-group only reports links that connect it, never all pairs, and groups of over
-``GROUP`` fingerprints are cut into blocks that meet two by two.
+group only reports links that connect it, never all pairs.  A group of over
+``GROUP`` fingerprints is refined: the bits its key leaves open are cut into
+tau + 1 parts, on one of which any two linked ones agree.  What is large even
+then is cut into blocks that meet two by two.
 
 Defined results: null text has no words and fingerprint zero, which links like
 any other; equal texts and repeated rows share a fingerprint; rows with a null
 doc_id get the component of their fingerprint but never name one; an empty
-table gives an empty table.
+table gives an empty table; a very long text is a slice by itself; columns
+besides key and text are not read, or carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,6 +108,18 @@ def masks(part: list[int], threshold: int) -> list[int]:
     return [mask_of(part) & ~mask_of(c) for c in itertools.combinations(part, threshold)]
 
 
+def rest_of(mask: int, parts: int) -> list[int]:
+    """The bits outside a mask, dealt to masks of about equal width."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    return [mask_of(left[j::parts]) for j in range(parts)]
+
+
+def key_of(bits: np.ndarray, salt) -> np.ndarray:
+    """A hash of masked fingerprints; different ones of one salt have different hashes."""
+    h = bits * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) ^ salt
+
+
 def pairs_sharing(values: np.ndarray) -> float:
     n = np.unique(values, return_counts=True)[1].astype(float)
     return float((n * (n - 1) / 2).sum())
@@ -199,18 +214,34 @@ def link(distinct: DataFrame, tau: int = 3, group: int = GROUP) -> DataFrame:
         for b in batches:
             fp, node = b.column(0).to_numpy().view(np.uint64), b.column(1)
             for k, m in enumerate(chosen):
-                key = (fp & np.uint64(m)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(xxhash.xxh64_intdigest(str(k)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), node], names=["key", "fp", "node"])
-
-    probes = distinct.select("fp", "node").mapInArrow(probe, "key long, fp long, node long")
-    # keys of one fingerprint meet nobody; large groups are dealt to blocks
-    sizes = probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = probes.join(sizes, "key").withColumn("c", F.ceil(F.col("n") / group).cast("int"))
-    mine = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("c").cast("long")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    dealt = met.withColumn("x", mine).withColumn("y", other)
-    block = F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))
-    dealt = dealt.select(F.when(F.col("c") == 1, F.col("key")).otherwise(block).alias("g"), "fp", "node")
+                key = key_of(fp & np.uint64(m), np.uint64(xxhash.xxh64_intdigest(str(k))))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), node, pa.array(np.full(len(fp), k, np.int32))], names=["key", "fp", "node", "k"])
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, fp, k = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(3).to_numpy()
+            for own in np.unique(k).tolist():
+                pick = np.flatnonzero(k == own)
+                for j, m in enumerate(rest_of(chosen[own], tau + 1)):
+                    finer = key_of(fp[pick] & np.uint64(m), key[pick] + np.uint64(j))
+                    at = pa.array(pick)
+                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), b.column(1).take(at), b.column(2).take(at)], names=["key", "fp", "node"])
+
+    # keys of one fingerprint meet nobody; large groups are refined, and dealt to blocks if they stay large
+    probes = distinct.select("fp", "node").mapInArrow(probe, "key long, fp long, node long, k int")
+    sizes = C.table(probes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = probes.join(sizes, "key")
+    large = not sizes.where(F.col("n") > group).isEmpty()
+    plain = met.where(F.col("n") <= group) if large else met
+    dealt = plain.select(F.col("key").alias("g"), "fp", "node")
+    if large:
+        finer = C.table(met.where(F.col("n") > group).select("key", "fp", "node", "k").mapInArrow(refine, "key long, fp long, node long"), "finer")
+        sizes = finer.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        blocks = finer.join(sizes, "key").withColumn("c", F.ceil(F.col("n") / group).cast("int"))
+        mine = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("c").cast("long")).cast("int")
+        blocks = blocks.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+        block = F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y"))
+        dealt = dealt.unionByName(blocks.select(F.when(F.col("c") == 1, F.col("key")).otherwise(block).alias("g"), "fp", "node"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -242,9 +273,10 @@ def simhash(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     """doc_id and fp (long, its 64 bits) of each row."""
     C.ship(docs.sparkSession)
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in C.slices(b.column(1), 8 << 20):
+            for i, j in C.slices(b.column(1), 4 << 20):
                 part = b.slice(i, j - i)
                 fp = fingerprints(part.column(1), size, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
@@ -269,11 +301,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ta
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", tau: int = 3, size: int = 3) -> DataFrame:
     """The rows of docs whose doc_id names its component, in the same columns.
 
-    Of repeated rows of one doc_id one stays; rows with a null doc_id all stay.
+    Of repeated rows of one doc_id that of the least hash of its columns stays; rows with a null doc_id all stay.
     """
     own = docs.where(docs[f"`{key}`"].isNotNull())
     prints = C.table(simhash(own, text, key, size), "fingerprints")
     name = C.fresh(docs, "_keep")
     found = prints.join(named_fingerprints(prints, tau), "fp").where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = own.join(found, own[f"`{key}`"].cast("long") == found[name], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(docs[f"`{key}`"].isNull()))
+    kept = own.join(found, own[f"`{key}`"].cast("long") == found[name], "left_semi")
+    return C.first_of_each(kept, key).unionByName(docs.where(docs[f"`{key}`"].isNull()))
