@@ -10,7 +10,8 @@ a compressed bitmap of kept lines per document, never text.
 Defined results: a null or empty text is one empty line and keeps it; rows of
 one doc_id are one document, and repeated rows come out each by itself; rows
 with a null doc_id are one document that sorts after all others; an empty table
-gives an empty table.
+gives an empty table; a very long text is a slice by itself; columns of any name
+are carried along.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Rows to a range, about.
-RANGE = 500_000
+#: Rows to a range, about, and ranges at most; a range streams through its task, whatever its length.
+RANGE, MOST_RANGES = 500_000, 20_000
 LAST = (1 << 63) - 1
 
 
@@ -46,10 +47,11 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     C.ship(docs.sparkSession)
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("n_lines", pa.int32())])
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            for i, j in C.slices(b.column(1), 8 << 20):
+            for i, j in C.slices(b.column(1), 4 << 20):
                 hashes, rows, at, of = [], [], [], []
                 for r, text in enumerate(C.encoded(b.column(1).slice(i, j - i)), i):
                     lines = text.lower().split(b"\n")
@@ -105,11 +107,11 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dropped(docs: DataFrame, least: int) -> DataFrame:
     """doc, th, pos, n_lines of lines whose key an earlier document has.  docs: doc_id, text, th."""
     rows = C.table(line_hashes(docs, least), "lines")
-    parts = C.pieces(rows.count(), RANGE, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(C.pieces(rows.count(), RANGE, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
     dealt = rows.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     seen = C.table(dealt.mapInArrow(_first_seen, "kind int, part int, h1 long, h2 long, g1 long, g2 long, first long, doc long, th long, pos int, n_lines int"), "seen")
     late, carry = [], None
-    for r in seen.where("kind = 2").orderBy("part").select("part", "h1", "h2", "g1", "g2", "first", "doc").collect():  # a row for each task
+    for r in seen.where("kind = 2").orderBy("part").select("part", "h1", "h2", "g1", "g2", "first", "doc").collect():  # a row for each range
         goes_on = carry is not None and carry[:2] == (r["h1"], r["h2"])
         if goes_on and carry[2] != r["doc"]:
             late.append(r["part"])
@@ -184,6 +186,7 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int
     plain = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
     joined = with_bitmaps(plain, docs, text, key, least).select("doc_id", "text", "gone", "keep")
 
+    @C.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, out = [], []
