@@ -6,8 +6,14 @@ counts (at most 3 ** rules) estimates how often each rule votes either way on
 good and on bad documents, and a document is kept if the posterior probability
 that it is good is at least one half.  No label is used.
 
+Rules on the length of words, on the ends of lines and on the variety of words
+are made for scripts with spaces between words; they abstain on texts of which
+over ``UNSPACED`` of the letters are of scripts without.  Marks at the ends of
+lines are those of many scripts.
+
 Defined results: a null text has no words; texts of under 20 words fail; an
-empty table gives an empty table; repeated rows count as often as they occur.
+empty table gives an empty table; repeated rows count as often as they occur;
+very long texts are counted whole; extra columns are carried along by keep().
 Windows of eight words are compared by a 64-bit hash within one document.
 """
 
@@ -23,6 +29,9 @@ from . import common as C
 
 SYMBOLS, WINDOW = "#*$%&|<>", 8
 WHITE = r"[\x20\x09-\x0D]+"
+#: Marks that end lines of prose: of Latin, Greek, Arabic, Devanagari, Ethiopic, Armenian and East Asian texts.
+MARKS = ".!?:;,\"'”»…)" + "·؟؛،۔।॥።։" + "。！？；：，、」』）》】．"
+NO_SPACES, UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]", 0.3
 #: Seeds of the estimation: how sure a bad vote is at first, and rounds.
 ROUNDS = 200
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -66,7 +75,9 @@ def features(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
         F.size(F.array_distinct("_h")).cast("long").alias("n_distinct"),
         F.size(F.filter("_w", lambda w: (w == F.upper(w)) & (w != F.lower(w)))).cast("long").alias("n_upper"),
         without(F.col("_t"), "!").cast("long").alias("n_marks"),
-        F.size(F.filter("_l", lambda x: F.btrim(x, F.lit(C.SPACE)).rlike("[.!?:;,\"'”»…)]$"))).cast("long").alias("n_ended"),
+        F.size(F.filter("_l", lambda x: F.btrim(x, F.lit(C.SPACE)).rlike(f"[{MARKS}]$"))).cast("long").alias("n_ended"),
+        # looked for only where a fifth of the characters or more has several bytes
+        F.when(F.octet_length("_t") > 1.2 * F.char_length("_t"), F.char_length("_t") - F.char_length(F.regexp_replace("_t", NO_SPACES, ""))).otherwise(0).cast("long").alias("n_unspaced"),
     )
 
 
@@ -83,6 +94,7 @@ def rules() -> dict[str, Column]:
     symbols, length, capital = ratio("n_symbols", "n_words"), ratio("word_chars", "n_words"), ratio("n_upper", "n_words")
     marks, ended = ratio("n_marks", "n_words"), ratio("n_ended", "n_lines")
     lines, again, distinct = ratio("n_dup_lines", "n_lines"), ratio("n_repeat_words", "n_words"), ratio("n_distinct", "n_words")
+    spaced = F.col("n_unspaced") <= UNSPACED * F.col("word_chars")
     plain = (symbols < 0.05) & (capital < 0.2) & (marks < 0.1)
     bad = {
         "symbols": symbols > 0.1,
@@ -90,12 +102,12 @@ def rules() -> dict[str, Column]:
         "marks": marks > 0.3,
         "same_lines": lines > 0.5,
         "same_words": again > 0.3,
-        "variety": (F.col("n_words") >= 50) & (distinct < 0.1),
-        "word_length": (length < 2.5) | (length > 14),
-        "line_ends": (ended < 0.1) & (F.col("n_lines") >= 3),
+        "variety": spaced & (F.col("n_words") >= 50) & (distinct < 0.1),
+        "word_length": spaced & ((length < 2.5) | (length > 14)),
+        "line_ends": spaced & (ended < 0.1) & (F.col("n_lines") >= 3),
     }
     good = {
-        "prose": plain & (length >= 3) & (length <= 10),
+        "prose": plain & (~spaced | (length >= 3) & (length <= 10)),
         "sentences": plain & (ended > 0.5),
     }
     return {k: F.when(v, -1).otherwise(0) for k, v in bad.items()} | {k: F.when(v, 1).otherwise(0) for k, v in good.items()}
