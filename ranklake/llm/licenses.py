@@ -6,15 +6,18 @@ shingles.  Windows of two blocks of ``BLOCK`` shingles overlap by half; each has
 Where a template occurs, a window of the text is off by a quarter window at most,
 so that they share at least 24 of 40 shingles: all bands miss with a probability
 of 0.4 ** 10 = 0.0001, and a template of several windows is missed less often
-still.  Templates of at most ``SHORT`` shingles use windows of one shingle, whose
+still.  A band's order is that of the shingles' hashes under an exclusive or; the
+bands' masks are spread evenly, so that the least shingles of two bands lie in
+different parts of the hashes' range (a test counts misses).  Templates of at most ``SHORT`` shingles use windows of one shingle, whose
 MinHash is the shingle, and are never missed.  Retrieved templates are verified
 exactly: at least ``LEAST`` of their distinct shingles occur in the text.
 
 All of it is done within a row, so nothing is shuffled; templates are a literal
 of the plan (``MOST_SHINGLES`` bounds them).
 
-Defined results: null and empty texts match nothing; repeated rows match each by
-itself; templates of fewer than five words are refused; a template that occurs
+Defined results: null and empty texts match nothing; an empty table gives an
+empty table; very long texts are scanned whole; columns besides key and text are
+not read; repeated rows match each by itself; templates of fewer than five words are refused; a template that occurs
 often in a text is one match.
 """
 

@@ -79,6 +79,17 @@ def test_bpe_lexicon_changes_nothing_and_decodes(spark, docs):
         assert r.decoded == t.decode(r.ids, skip_special_tokens=False)
 
 
+def test_another_tokenizer_is_refused(tmp_path):
+    import json
+
+    with open(bpe.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Merger(str(tmp_path / "other.json"))
+
+
 def test_lexicon_is_minimal_and_exact():
     from ranklake.llm import lexicon
 
@@ -158,6 +169,26 @@ def test_packing(spark, rows):
         assert padding < 0.03
 
 
+def test_packing_of_short_texts(spark):
+    """Texts of few tokens fill their sequences too; hot lengths are ranked in parts."""
+    rng = random.Random(8)
+    rows = [(i, None if i % 3 == 0 else " ".join("abc" for _ in range(rng.randrange(40)))) for i in range(6000)]
+    found = packing.pack_digests(frame(spark, rows)).collect()
+    assert plain.check_pieces(rows, found) < 0.03  # one sequence of 42 is the last one
+    lengths = spark.createDataFrame([(i, 1 + i % 70) for i in range(3000)], "rid long, n long")
+    got = packing.assign(lengths, 2048, 8, 7).collect()
+    assert len({r.rid for r in got}) == len(got) == 3000
+    used = defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.n))
+    for own in used.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
 def test_packing_general(spark):
     some = [(d, t) for d, t in ODD if d in (1, 4, 9, 10, 20)]
     found = packing.pack(frame(spark, some), length=512, end=1).collect()
@@ -208,15 +239,44 @@ def test_lm_beats_its_base_on_held_out_texts(spark, sf):
     assert t.s > t.b
 
 
-def test_lm_is_normalised():
-    share = np.full(40, 1 / 40)
-    m = lm.Model.start(share, 6)
+def test_lm_model_does_not_depend_on_partitions(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)  # several shards
+    df = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0")
+    a, b = ({r.doc_id: r.score for r in lm.score(d).collect()} for d in (df.coalesce(1), df.repartition(7)))
+    assert all(abs(a[d] - b[d]) <= 1e-6 * abs(a[d]) for d in a)  # sums may come in another order
+
+
+def plain_log_probs(m, a, b):
+    """p of all symbols after a context, one level after the other, without batches."""
+    h = np.append(m.r[a] @ m.c1 + m.r[b] @ m.c2, 1)
+    first = np.exp(m.q1 @ h)
+    first /= first.sum()
+    out = first[m.level].astype(float)
+    for g in range(m.groups):
+        s = slice(g * lm.GROUP, min((g + 1) * lm.GROUP, m.vocabulary))
+        second = np.exp(m.q2[s] @ h)
+        out[1 + s.start : 1 + s.stop] *= second / second.sum()
+    return out
+
+
+@pytest.mark.parametrize("vocabulary", [0, 1, 300])
+def test_lm_is_normalised(vocabulary):
     rng = np.random.default_rng(1)
-    w, one, two = (rng.integers(0, 40, 500) for _ in range(3))
-    m.learn(w, one, two, share, {}, rng)
-    every = np.arange(40)
+    n = 1 + vocabulary + lm.REST
+    share = rng.random(n) + 0.1
+    m = lm.Model(share / share.sum(), width=6)
+    w, one, two = (rng.integers(0, n, 500) for _ in range(3))
+    before = m.log_probs(w, one, two).sum()
+    for _ in range(20):
+        m.learn(w, one, two, {}, rng)
+    assert m.log_probs(w, one, two).sum() > before
+    every = np.arange(n)
     for a, b in ((0, 0), (3, 17)):
-        assert abs(np.exp(m.log_probs(every, np.full(40, a), np.full(40, b))).sum() - 1) < 1e-4
+        p = np.exp(m.log_probs(every, np.full(n, a), np.full(n, b)))
+        assert abs(p.sum() - 1) < 1e-4
+        assert np.allclose(p, plain_log_probs(m, a, b), rtol=1e-3)
+    again = lm.Model(share / share.sum(), m.flat(), width=6)
+    assert (again.log_probs(w, one, two) == m.log_probs(w, one, two)).all()
 
 
 def shingles_of(text):
@@ -246,6 +306,42 @@ def test_licenses(spark, docs):
         licenses.scan(frame(spark, []), templates={"x": ["too short"]})
 
 
+def test_bands_of_windows_miss_as_rarely_as_stated():
+    """Windows of 40 distinct shingles of which 24 of the union are shared, by the masks in use."""
+    rng = np.random.default_rng(4)
+    masks = np.array(licenses.salts(), np.int64)
+    n, missed = 30_000, 0
+    for _ in range(10):
+        h = rng.integers(-(1 << 63), (1 << 63) - 1, (n // 10, 40))
+        # 24 shared, 8 on either side
+        a, b = h[:, :32], h[:, np.r_[:24, 32:40]]
+        met = np.zeros(len(h), bool)
+        for m in masks:
+            met |= (a ^ m).min(axis=1) == (b ^ m).min(axis=1)
+        missed += int((~met).sum())
+    assert missed / n <= 0.0004
+
+
+@pytest.mark.parametrize("offset", [0, 1, 7, 15, 16, 23, 31])
+def test_templates_are_found_at_any_offset(spark, offset):
+    """Windows of text and template lie apart by any number of shingles; a fifth of the shingles is lost in places."""
+    rng = random.Random(offset)
+    templates = {f"T{i}": [" ".join(f"t{i}w{k}" for k in range(24 + 9 * i))] for i in range(12)}
+    rows = []
+    for i, (own,) in enumerate(templates.values()):
+        words = own.split()
+        words[rng.randrange(len(words))] = "changed" if i > 3 else words[0]
+        rows.append((i, " ".join([f"b{rng.randrange(999)}" for _ in range(offset + 40)] + words + [f"a{rng.randrange(999)}" for _ in range(30)])))
+    got = {(r.doc_id, r.license) for r in licenses.scan(frame(spark, rows), templates=templates).collect()}
+    wanted = set()
+    for d, text in rows:
+        for name, (t,) in templates.items():
+            s = set(shingles_of(t))
+            if len(s & set(shingles_of(text))) >= licenses.LEAST * len(s):
+                wanted.add((d, name))
+    assert got == wanted and len(wanted) > 8
+
+
 def test_license_texts_are_found_whole(spark):
     """Every text is found in a longer one, also with a word changed; notices of other versions aren't."""
     names = sorted(f.stem for f in licenses.TEXTS.glob("*.txt"))
@@ -276,6 +372,15 @@ def test_quality_rules_agree_with_labels(spark, sf):
     assert t > 0.75
 
 
+def test_quality_rules_leave_other_scripts_alone(spark):
+    """Prose of scripts without spaces or with other marks gets no bad vote."""
+    texts = ["这是一段很普通的文字。" * 3 + " 它有几个句子。", "これはふつうの文章です。 " * 4, "นี่คือข้อความธรรมดา ไม่มีเครื่องหมาย\n" * 3 + "อีกบรรทัด", "यह एक साधारण वाक्य है।\nयह दूसरा वाक्य है।\nऔर यह तीसरा वाक्य है।", "هذا نص عادي تماما؟\nوهذا سطر آخر،\nوهذا الثالث۔"]
+    rows = quality.features(frame(spark, list(enumerate(texts))), "text", "doc_id")
+    voted = rows.select("doc_id", *[v.alias(k) for k, v in quality.rules().items() if k not in ("prose", "sentences", "same_lines", "same_words")])
+    for r in voted.collect():
+        assert min(r[1:]) == 0, r
+
+
 def test_quality_keep(spark):
     found = quality.keep(frame(spark, ODD))
     assert found.columns == ["text", *EXTRA, "doc_id"]
@@ -356,6 +461,23 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("block", [32_768, 100])
+def test_ann_ties_go_to_the_smaller_id(spark, block):
+    """All sign vectors of nine places: most inner products are equal to many others."""
+    order = list(range(512))
+    random.Random(9).shuffle(order)
+    rows = [(i, [1.0 if x >> k & 1 else -1.0 for k in range(9)]) for i, x in enumerate(order)] + [(600 + k, [float(j == k) for j in range(9)]) for k in range(9)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, block=block).collect()
+    truth = nearest(rows, {i for i, _ in rows if i % 20 == 0})
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((-r.score, r.vec_id))
+    assert got == truth
+    q, v = np.array([[1.0] * 9]), np.array([r[1] for r in rows[:512]])
+    _, vid, s = ann._best(q, np.array([0]), v, np.arange(512), 21)
+    assert list(zip((-s).tolist(), vid.tolist(), strict=True)) == sorted((-float(x.sum()), i) for i, x in enumerate(v))[:21]
+
+
 @pytest.mark.parametrize("kind", ["outlier", "uneven", "heavy"])
 def test_ann_recall_with_uneven_norms(spark, sf, kind):
     t = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
@@ -400,6 +522,29 @@ def test_warc(spark, sf, kind):
     assert keys == sorted(keys)
 
 
+def test_warc_records_are_members_that_offsets_address(spark, tmp_path):
+    import glob
+    import gzip
+
+    rows = [(i, f"http://{i % 5}.example/{i % 3}", "é" * (10 + 400 * (i % 4))) for i in range(200)]
+    path = str(tmp_path / "warc")
+    warc.write(warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")), path, 2000)
+    files = {"/".join(f.split("/")[-2:]): open(f, "rb").read() for f in glob.glob(f"{path}/*/part-*")}
+    assert len(files) > 4 and all(len(d) < 2000 + 21 * 200 for d in files.values())
+    found = warc.merge(warc.read(spark, path), 30).collect()
+    assert len(found) == 200
+    for r in found:
+        record = gzip.decompress(files[r.run][r.offset : r.offset + r.length])
+        assert f"<urn:page:{r.page_id}>" in warc.headers_and_block(record)[0]["warc-record-id"]
+    for data in files.values():  # any reader of gzip sees whole records, one after another
+        assert gzip.decompress(data).count(b"WARC/1.1\r\n") == sum(1 for _ in warc.parse(memoryview(data)))
+    inorder = [(r.urlkey, r.timestamp, r.page_id) for r in sorted(found, key=lambda r: (r.part, r.place))]
+    assert inorder == sorted(inorder)
+    dated = warc.records(spark.createDataFrame([(1, None, None, "2020-02-03 04:05:06")], "page_id long, url string, html string, at string"), date="at")
+    warc.write(dated, str(tmp_path / "dated"))
+    assert warc.read(spark, str(tmp_path / "dated")).first().timestamp == "20200203040506"
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
@@ -417,6 +562,34 @@ def test_toxicity_held_out(spark, sf):
     assert auc > 0.9
 
 
+def test_toxicity_terms_are_those_of_a_plain_count(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = toxicity.sample(docs, labels, "text", "doc_id", "toxic").orderBy("doc_id").collect()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    label = np.array([float(r.label) for r in rows])
+    import pyarrow as pa
+
+    own = toxicity.choose(*toxicity.tallies(pa.array([text[r.doc_id] for r in rows]), label), float(label.mean()))
+    found = toxicity.vocabulary_of(spark.createDataFrame(rows), len(rows), int(label.sum()))
+    assert len(own) > 100 and len(set(own.tolist()) ^ set(found.tolist())) <= 0.01 * len(own)  # gains may differ in the last bit
+
+
+def test_toxicity_learns_from_long_texts_and_never_from_held_out_labels(spark):
+    import zlib
+
+    rng = random.Random(6)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    rows = [(d, " ".join(rng.choice(["vile", "plain"] if d % 2 else ["calm", "plain"]) if k % 10 == 0 else f"w{rng.randrange(99)}" for k in range(20_000 if d % 2 else 50))) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = [(d, d % 2) for d in range(60)]
+    turned = [(d, 1 - t if held(d) else t) for d, t in labels]
+    score = lambda own: {r.doc_id: r.score for r in toxicity.classify(docs, spark.createDataFrame(own, "doc_id long, toxic int")).collect()}
+    found = score(labels)
+    assert all((found[d] >= 0.5) == (d % 2 == 1) for d in found)
+    assert found == score(turned)
+
+
 def test_toxicity_odd(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.classify(frame(spark, ODD), empty).collect()
