@@ -159,31 +159,43 @@ class Model:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
     def log_probs(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural log of p(w | one, two), for symbols; both levels are normalised over all their outcomes."""
+        """Natural log of p(w | one, two), for symbols; both levels are normalised over all their outcomes.
+
+        Like tokens are scored once, and a level's sum is taken once for each context (and group).
+        """
+        n = self.symbols
         # the projections carry half of the 1 each
         p1, p2 = (np.pad(self.r @ c, ((0, 0), (0, 1)), constant_values=0.5) for c in (self.c1, self.c2))
-        contexts, back = np.unique(one * self.symbols + two, return_inverse=True)
+        code, back = np.unique((one * n + two) * n + w, return_inverse=True)
+        context, target = np.divmod(code, n)
+        level = self.level[target]
+        # in this order the rows of a context are neighbours, and in it those of a group
+        new = np.append(True, context[1:] != context[:-1])[: len(code)]
+        fresh = new | np.append(True, level[1:] != level[:-1])[: len(code)]
+        contexts, a, b = context[new], *np.divmod(context, n)
         norm = np.empty(len(contexts), np.float32)
         for i in range(0, len(contexts), 8192):
-            a, b = np.divmod(contexts[i : i + 8192], self.symbols)
-            norm[i : i + 8192] = log_sum(p1[a] + p2[b], self.q1)
-        out = -norm[back].astype(float)
-        for i in range(0, len(w), 1 << 16):
-            k = slice(i, i + (1 << 16))
-            out[k] += np.einsum("nd,nd->n", p1[one[k]] + p2[two[k]], self.q1[self.level[w[k]]])
+            x, y = np.divmod(contexts[i : i + 8192], n)
+            norm[i : i + 8192] = log_sum(p1[x] + p2[y], self.q1)
+        out = -norm[np.cumsum(new) - 1].astype(float)
+        known = (target > 0) & (target <= self.vocabulary)
         # the second level, group by group
-        known = np.flatnonzero((w > 0) & (w <= self.vocabulary))
-        group = (w[known] - 1) // GROUP
-        order = np.argsort(group, kind="stable")
-        known, group = known[order], group[order]
-        edges = np.searchsorted(group, np.arange(self.groups + 1))
+        heads = np.flatnonzero(fresh & known)
+        heads = heads[np.argsort(level[heads].astype(np.uint16), kind="stable")]
+        edges = np.searchsorted(level[heads], np.arange(1, self.groups + 2))
+        inner = np.zeros(len(code), np.float32)
         for g in range(self.groups):
             words = slice(g * GROUP, min((g + 1) * GROUP, self.vocabulary))
             for i in range(int(edges[g]), int(edges[g + 1]), 8192):
-                rows = known[i : min(i + 8192, int(edges[g + 1]))]
-                h = p1[one[rows]] + p2[two[rows]]
-                out[rows] += np.einsum("nd,nd->n", h, self.q2[w[rows] - 1]) - log_sum(h, self.q2[words])
-        return out
+                rows = heads[i : min(i + 8192, int(edges[g + 1]))]
+                inner[rows] = log_sum(p1[a[rows]] + p2[b[rows]], self.q2[words])
+        out -= inner[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        for i in range(0, len(code), 1 << 16):
+            k = slice(i, i + (1 << 16))
+            h, own = p1[a[k]] + p2[b[k]], known[k]
+            out[k] += np.einsum("nd,nd->n", h, self.q1[level[k]])
+            out[k][own] += np.einsum("nd,nd->n", h[own], self.q2[target[k][own] - 1])
+        return out[back]
 
     def learn(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, state: dict, rng, rate: float = 0.1) -> None:
         """One pass of noise-contrastive estimation over the tokens, alike ones together."""
