@@ -295,8 +295,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def average(parts: DataFrame, fan: int = 16) -> np.ndarray | None:
-    """Weighted mean of the rows (part, weight, value: float32 bytes) in the order of part, ``fan`` rows to a task and again."""
+def average(parts: DataFrame, n: int, fan: int = 16) -> np.ndarray | None:
+    """Weighted mean of the rows (part under n, weight, value: float32 bytes) in the order of part, ``fan`` rows to a task and again.
+
+    The rows go straight to the tasks that merge them; only means are stored.
+    """
 
     @C.lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +317,12 @@ def average(parts: DataFrame, fan: int = 16) -> np.ndarray | None:
             yield out()
 
     ddl = "part int, weight double, value binary"
-    n = parts.count()
-    while n > 1:
-        group = F.floor(F.col("part") / fan)
-        parts = C.table(parts.repartition(C.pieces(n, fan), group).sortWithinPartitions("part").mapInArrow(merge, ddl), "means")
-        n = parts.count()
+    while True:
+        groups = C.pieces(n, fan)
+        dealt = parts.repartitionById(groups, F.floor(F.col("part") / fan).cast("int"))
+        parts, n = C.table(dealt.sortWithinPartitions("part").mapInArrow(merge, ddl), "means"), groups
+        if n == 1:
+            break
     one = parts.first()  # a single model
     return None if one is None else np.frombuffer(one["value"], np.float32)
 
@@ -350,7 +354,7 @@ def train(learn: DataFrame, vocabulary: pa.Array, share: np.ndarray, tokens: int
 
     rows = learn.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("order"), "doc_id")
     dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("order", "doc_id").select("shard", "text")
-    flat = average(C.table(dealt.mapInArrow(run, "part int, weight double, value binary"), "models"))
+    flat = average(dealt.mapInArrow(run, "part int, weight double, value binary"), shards)
     return Model(share, flat)
 
 
