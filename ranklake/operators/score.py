@@ -95,43 +95,53 @@ def top(hits: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def occurrences(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == F.lit(term))).cast("double")
+    return F.size(F.filter(tokens, lambda x: x == F.lit(term)))
 
 
-def scan(index: Index, docs: DataFrame, rows: list[tuple[int, str, float]], conditions: dict[int, Column | None], k: int, mask: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score and rank of the k best of docs for (query_id, term, weight) rows, without postings.
+def scan(index: Index, rows: list[tuple[int, str, float]], conditions: dict[int, Column | None], k: int, mask: DataFrame | None = None, where: Column | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score and rank of the k best documents for (query_id, term, weight) rows, without postings.
 
-    One pass over all documents counts the terms' documents, another one scores
-    each document by itself; only the k best of each task are moved.  A query's
-    condition says which documents count for it (None: all).
+    One pass takes each text apart and leaves a short row: how often the named
+    terms occur, and for which queries the document counts by their conditions
+    (None: for all) and by ``where``.  These rows are exchanged once and read
+    twice, for the terms' statistics over all documents and for the scores;
+    only the k best of each task move after that.
     """
     s = index.options.scoring
     names = sorted({t for _, t, _ in rows})
     # each text's tokens are looked through once; what is counted then are the few that the queries name
-    named = F.filter("tokens", lambda x: x.isin(*names)).alias("_hits") if names else F.array().cast("array<string>").alias("_hits")
-    stats = index.documents.select("dl", named).agg(F.count("*").cast("double").alias("_n"), F.try_divide(F.sum("dl"), F.count("*")).alias("_avgdl"), F.array(F.lit(0.0), *[F.count_if(F.array_contains("_hits", t)).cast("double") for t in names]).alias("_df"))
-    tf = F.array(F.lit(0.0), *[occurrences(F.col("_hits"), t) for t in names])
-    hit = docs.select(*docs.columns, named)
-    counted = one_row(hit.select(*docs.columns, tf.alias("_tf")), stats)
+    named = F.filter("tokens", lambda x: x.isin(*names)) if names else F.array().cast("array<string>")
+    asked = [F.coalesce(c, F.lit(False)) for c in (F.lit(True) if c is None else c for c in conditions.values())]
+    if where is not None:
+        asked = [F.coalesce(where, F.lit(False)) & c for c in asked]
+    hit = index.documents.select(F.col("doc_id").cast("long").alias("doc_id"), "dl", named.alias("_hits"), F.array(*asked).alias("ok"))
+    tf = F.array(F.lit(0), *[occurrences(F.col("_hits"), t) for t in names])
+    # one column by which rows are dealt whole, so that both readers need the same exchange
+    short = hit.select(F.struct("doc_id", "dl", tf.alias("tf"), "ok").alias("d")).repartition("d")
+    found_in = [F.count_if(F.element_at("d.tf", F.lit(i + 1)) > 0).cast("double") for i in range(1, len(names) + 1)]
+    stats = short.agg(F.count("*").cast("double").alias("_n"), F.try_divide(F.sum("d.dl"), F.count("*")).alias("_avgdl"), F.array(F.lit(0.0), *found_in).alias("_df"))
+    if allowed is not None:
+        short = short.withColumn("doc_id", F.col("d.doc_id")).join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    counted = one_row(short.select("d.*"), stats)
     absent, dl = absent_part(s), F.col("dl").cast("double")
     factor = F.lit(1.0)
     if mask is not None:
         counted = counted.join(mask.select("doc_id", F.col("weight").alias("_mask")), "doc_id")
         factor = F.col("_mask")
     each = []
-    for q, condition in conditions.items():
+    for at, q in enumerate(conditions, 1):
         total = constant = F.lit(0.0)
         for i, t in enumerate(names, 1):
             if weight := sum(w for own, x, w in rows if own == q and x == t):
                 df, n = F.element_at("_df", F.lit(i + 1)), F.col("_n")
                 w = F.when(df > 0, weight * idf(s, df, n)).otherwise(0.0)
-                found = F.element_at("_tf", F.lit(i + 1))
+                found = F.element_at("tf", F.lit(i + 1)).cast("double")
                 total = total + F.when(found > 0, w * (tf_part(s, found, dl, F.col("_avgdl")) - absent)).otherwise(0.0)
                 constant = constant + w * absent
-        hit = F.struct(F.lit(q).cast("long").alias("query_id"), (total * factor + constant).alias("score"))
-        each.append(hit if condition is None else F.when(condition, hit))
+        one = F.struct(F.lit(q).cast("long").alias("query_id"), (total * factor + constant).alias("score"))
+        each.append(F.when(F.element_at("ok", F.lit(at)), one))
     hits = counted.select("doc_id", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"))
-    return top(hits.select("x.query_id", F.col("doc_id").cast("long").alias("doc_id"), "x.score"), k).select("query_id", "doc_id", "score", "rank")
+    return top(hits.select("x.query_id", "doc_id", "x.score"), k).select("query_id", "doc_id", "score", "rank")
 
 
 def rank(index: Index, terms: DataFrame, ids: list[int], k: int, pad: bool = True, among: DataFrame | None = None, mask: DataFrame | None = None, named: list[str] | None = None) -> DataFrame:
@@ -215,7 +225,7 @@ def search_tokens(index: Index, queries: dict[int, list], k: int = 10, fields=No
     rows = [(q, str(t), 1.0) for q, ts in queries.items() for t in ts if t is not None]
     names = sorted({t for _, t, _ in rows})
     if scannable(index, names) and among is None and k > 0 and queries:
-        return scan(index, index.documents, rows, dict.fromkeys(queries), k, mask)
+        return scan(index, rows, dict.fromkeys(queries), k, mask)
     terms = spark.createDataFrame(rows, "query_id long, term string, weight double")
     return rank(index, with_fields(terms, field_weights(index, fields, weights)), list(queries), k, True, among, mask, names)
 
@@ -250,7 +260,7 @@ def search(index: Index, queries: dict[int, str] | str, k: int = 10, fields=None
     words = sorted({t for _, x in leaves for t in x.tokens})
     if scannable(index, words) and not starts and k > 0 and parsed:
         conditions = {q: None if Q.simple(p) else Q.predicate(p, F.col("tokens")) for q, p in parsed.items()}
-        return scan(index, docs, [(q, t, 1.0) for q, x in leaves for t in x.tokens], conditions, k, mask)
+        return scan(index, [(q, t, 1.0) for q, x in leaves for t in x.tokens], conditions, k, mask, where, allowed)
     out = None
     for plain in (True, False):
         some = {q: p for q, p in parsed.items() if Q.simple(p) == plain}

@@ -53,7 +53,7 @@ def save(index: Index, path: str, mode: str = "errorifexists") -> None:
     put(frequencies(postings), "terms")
     put(sizes(documents), "corpus")
     meta = json.dumps({"version": VERSION, "columns": index.columns, "source_type": index.source_type, "options": asdict(index.options)})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
+    spark.range(0, 1, 1, 1).select(F.lit(meta).alias("value")).write.mode(mode).text(f"{path}/meta")
 
 
 def peek(spark: SparkSession, path: str) -> dict:

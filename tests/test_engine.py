@@ -172,6 +172,29 @@ def test_scans_and_postings_rank_alike(spark, tokens, text, method, monkeypatch)
     near(got(search(own, text, 4)), scanned)
 
 
+def test_limits_of_scans_and_postings_agree(spark, monkeypatch):
+    own = build(spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(SIX)] + [(9, None, None)], "id int, body string, kind int"), "id", "body", Options(text=TextOptions(lowercase=True)))
+    few = spark.createDataFrame([(0,), (2,), (2,), (5,), (9,)], "doc_id int")
+    weights = spark.createDataFrame([(i, i / 2) for i in (*range(6), 9)], "doc_id int, weight double")
+    ways = [{"where": F.col("kind") > 0}, {"allowed": few}, {"where": F.col("kind") != 1, "allowed": few}, {"mask": weights}]
+    texts = {1: "blue bird", 2: "blue OR river", 3: "+bird -river"}
+    run = lambda how: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in search(own, texts, 4, **how).collect())
+    scanned = [run(how) for how in ways]
+    assert all(scanned)
+    monkeypatch.setattr("ranklake.operators.score.SCANNED_TERMS", 0)
+    assert [run(how) for how in ways] == scanned
+
+
+def test_a_scan_reads_the_texts_once(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(SIX)), "id int, body string").write.parquet(f"{tmp_path}/six")
+    own = build(spark.read.parquet(f"{tmp_path}/six"), "id", "body", Options(text=TextOptions(lowercase=True)))
+    found = search(own, {1: "blue bird", 2: "blue OR river"}, 4)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 1
+
+
 def test_highlight_and_snippet(spark):
     df = spark.createDataFrame([(["zero", "one", "two", "cat", "bird", "three", "four"],)], "t array<string>")
     h, s = df.select(highlight(F.col("t"), "bi* cat", "<mark>", "</mark>"), snippet(F.col("t"), '"cat bird"', 4, "<mark>", "</mark>")).first()
