@@ -3,30 +3,20 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import TextOptions
-from ..operators.index import Index, Options, Scoring, counted, frequencies, sizes
+from ..operators.index import Index, Options, Scoring, counted, frequencies, one_field, sizes
+from ..operators.scratch import shared_folder
 from ..plans.query import QueryError
 
 VERSION = 2
 PARTS = ("documents", "postings", "terms", "corpus")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share; a local one only where all runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise QueryError("name a folder that all executors share in spark.checkpoint.dir")
-        base = tempfile.mkdtemp(prefix="ranklake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+#: Tokens whose postings make a file: what a task sorts grows with this, not with the table.
+FILE_TOKENS, LEAST_TOKENS = 2_000_000, 100_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,11 +37,12 @@ def save(index: Index, path: str, mode: str = "errorifexists") -> None:
         return spark.read.schema(df.schema).parquet(f"{path}/{part}")
 
     documents = put(index.documents, "documents")
+    total = put(sizes(documents), "corpus").first().total_len
     plain = not index.options.field_aware and not index.stored
-    postings = counted(documents, F.array(F.struct(F.lit("").alias("field"), "tokens")), True) if plain else index.postings.repartitionByRange("term", "doc_id")
-    postings = put(postings.sortWithinPartitions("term", "doc_id"), "postings")
+    postings = counted(documents, one_field()) if plain else index.postings
+    files = max(total // FILE_TOKENS, min(total // LEAST_TOKENS, int(spark.conf.get("spark.sql.shuffle.partitions")))) + 1
+    postings = put(postings.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
     put(frequencies(postings), "terms")
-    put(sizes(documents), "corpus")
     meta = json.dumps({"version": VERSION, "columns": index.columns, "source_type": index.source_type, "options": asdict(index.options)})
     spark.range(0, 1, 1, 1).select(F.lit(meta).alias("value")).write.mode(mode).text(f"{path}/meta")
 
@@ -69,3 +60,6 @@ def load(spark: SparkSession, path: str) -> Index:
     options = Options(**(o | {"scoring": Scoring(**o["scoring"]), "text": TextOptions.of(**o["text"])}))
     parts = [spark.read.parquet(f"{path}/{p}") for p in PARTS]
     return Index(*parts, options, tuple(meta["columns"]), meta["source_type"], True)
+
+
+__all__ = ["load", "peek", "read", "save", "shared_folder"]
