@@ -229,12 +229,21 @@ def leaf_predicate(leaf: Leaf, tokens: Column) -> Column:
     phrase = F.array(*[F.lit(t) for t in leaf.tokens])
     places = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     whole = F.exists(places, lambda i: F.slice(tokens, i, n) == phrase)
-    all_there = reduce(lambda a, b: a & b, [F.array_contains(tokens, t) for t in dict.fromkeys(leaf.tokens)])
-    return (F.size(tokens) >= n) & all_there & F.when(F.size(tokens) >= n, whole).otherwise(False)
+    # few documents have the words' letters one after another; only those are looked through by place
+    letters = F.contains(F.array_join(tokens, " "), F.lit(" ".join(leaf.tokens)))
+    return F.when(letters, F.when(F.size(tokens) >= n, whole).otherwise(False)).otherwise(False)
 
 
 def predicate(query: Query, tokens: Column) -> Column:
-    """Whether a document's tokens match; a query of which nothing is left matches none."""
+    """Whether a document's tokens match; a query of which nothing is left matches none.
+
+    The tokens are bound to a variable: a condition is moved to where the texts
+    are read, and would take a text apart for each mention, or place, of its tokens.
+    """
+    return F.exists(F.array(tokens), lambda own: _predicate(query, own))
+
+
+def _predicate(query: Query, tokens: Column) -> Column:
 
     def walk(node: Node | Leaf) -> Column:
         if isinstance(node, Leaf):
