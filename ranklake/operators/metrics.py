@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,13 @@ def evaluate(hits: DataFrame, judged: DataFrame, candidate_k: int = 1000) -> Dat
     hits: query_id, doc_id, rank.  judged: query_id, doc_id, relevance; every judged document is relevant.
     """
     gain, log2 = (lambda c: F.pow(F.lit(2.0), c) - 1), (lambda r: F.log2(r + F.lit(1.0)))
+    # judgements of one relevance take ranks one after another, so that they come by their number
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance"))
-    ideal = judged.withColumn("r", F.row_number().over(order))
-    ideal = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= 10, gain(F.col("relevance")) / log2(F.col("r"))).otherwise(0.0)).alias("idcg"))
+    grades = judged.groupBy("query_id", "relevance").agg(F.count("*").alias("n")).withColumn("last", F.sum("n").over(order))
+    parts = F.array(*[F.lit(sum(1 / math.log2(r + 1) for r in range(1, n + 1))) for n in range(11)])
+    upto = lambda c: F.get(parts, F.least(c, F.lit(10)).cast("int"))
+    share = gain(F.col("relevance")) * (upto(F.col("last")) - upto(F.col("last") - F.col("n")))
+    ideal = grades.groupBy("query_id").agg(F.sum("n").alias("relevant"), F.sum(share).alias("idcg"))
     met = hits.join(judged, ["query_id", "doc_id"]).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     r = F.col("rank")
     found = met.groupBy("query_id").agg(

@@ -12,6 +12,7 @@ from .functions.text import TextOptions, normalize_tokens, tokenize
 from .operators import filters, fusion, metrics, semantic
 from .operators.index import METHODS, Index, Options, Scoring, audit, build, describe, details, status
 from .operators.score import distance, distance_of_text, matches, order_tokens, overlap, prepared, query_tokens, search, search_native, search_prepared, search_texts, search_tokens
+from .operators.scratch import once
 from .sources.tables import load, read, save, shared_folder
 from .streaming import delta
 
@@ -292,7 +293,7 @@ def metrics_query(spark, sf):
     # a document that begins with the query's first word counts as relevant, a long one more
     docs = _index(spark, sf).documents.select("doc_id", F.get("tokens", F.lit(0)).alias("word"), F.when(F.col("dl") > 150, 2.0).otherwise(1.0).alias("relevance"))
     judged = bench.select(F.col("item_id").alias("query_id"), F.get(tokenize(F.col("text"), LOWER), F.lit(0)).alias("word")).join(docs, "word").drop("word")
-    out = metrics.evaluate(hits, judged, 200)
+    out = metrics.evaluate(hits, once(judged, "judged"), 200)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "query_id"])
 
 
