@@ -56,6 +56,9 @@ def overlaid(base: Index, log: DataFrame, key: str = "doc_id") -> Index:
     last = latest(log, key)
     gone = last.select(F.col(key).alias("doc_id"))
     source = [c if c != "doc_id" else key for c in base.documents.columns if c not in ("tokens", "dl")]
+    if base.source():
+        # nothing is built yet: what is live is taken apart once
+        return replace(build(live(base.documents.select(*[F.col("doc_id").alias(key) if c == key else c for c in source]), log, key), key, list(base.columns), base.options), pending=pending)
     new = build(last.where("op = 'upsert'").select(*source), key, list(base.columns), base.options)
     old = base.documents.select("doc_id", "dl").join(gone, "doc_id", "left_semi")
     lost = base.postings.join(gone, "doc_id", "left_semi").groupBy("term", "field").agg((-F.count("*")).alias("df"))
